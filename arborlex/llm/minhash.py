@@ -4,7 +4,8 @@
 2. Classes that share a band of signature rows are candidates. A bucket is not expanded into pairs: one member,
    the pivot, is compared with the others, links are confirmed, and the bucket goes into the next round without
    its pivot unless all its members are in one component by then. A pair is thus left out only if it is linked
-   through others already. After ROUNDS rounds, what is left is compared in blocks of BLOCK members.
+   through others already. After ROUNDS rounds, what is left is compared in blocks of BLOCK members,
+   sets at hand, and only links that join components leave a task.
 3. A candidate pair's signatures are compared BATCH rows at a time; it is dropped once the posterior probability
    that its similarity reaches the threshold, under a uniform prior, is below MISS. Survivors are confirmed by
    intersection and union of the full shingle sets.
@@ -35,8 +36,6 @@ BATCH = 20
 MISS = 1e-6
 ROUNDS = 3
 BLOCK = 256
-#: Buckets of up to so many members are paired by a join after the last round.
-SMALL = 12
 
 _HASHES = BANDS * ROWS
 _COEFFICIENTS = (mix64(np.arange(1, _HASHES + 1, dtype=U64) * U64(0xA24BAED4963EE407)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -200,36 +199,59 @@ def _sets(documents: DataFrame, id_col: str, text: str, wanted: DataFrame, width
     return rows.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, hashes binary")
 
 
-def _leftover(members: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components within buckets that pivots have not settled, pruned."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    sized = materialise(members.join(materialise(sizes), "bucket"))
-    small = sized.where(F.col("size") <= SMALL)
-    other = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    few = small.withColumnRenamed("rep", "a").join(other, "bucket").where("a < b and component <> cb").select("a", "b").distinct()
+def _linked(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join components, between side 0 and side 1, or within side 0 if there is no other."""
+    root = {int(c): int(c) for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1)
+    within, out = not len(right), []
+    right = left if within else right
+    for k, i in enumerate(left):
+        js = right[k + 1 :] if within else right
+        js = js[comp[js] != comp[i]]
+        js = js[survives(np.broadcast_to(sig[i], (len(js), _HASHES)), sig[js], percent / 100)]
+        for j in js:
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(rep[i]), int(rep[j])))
+    return out
+
 
+def _leftover(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components in the buckets that pivots have not settled. Classes that reach each other through
+    shared buckets are compared in blocks, with their sets at hand; only links that join components come out."""
+    low = materialise(members.groupBy("bucket").agg(F.min("rep").alias("low")))
+    clusters = connected_components(members.join(low, "bucket").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    sizes = materialise(clusters.groupBy("component").agg(F.count("*").alias("size")))
+    rows = clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "size")
+    rows = materialise(rows.join(materialise(members.select("rep", "component").distinct()), "rep"))
+    cells = max(1, rows.where(F.col("size") <= BLOCK).count() // BLOCK)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = sized.where(F.col("size") > SMALL).select("bucket", "rep", "component", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
-    dealt = large.join(sigs, "rep").select("bucket", "rep", "component", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "sig")
+    small = rows.where(F.col("size") <= BLOCK).select("rep", "cluster", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(cells)).alias("key"), F.lit(-1).alias("x"), F.lit(-1).alias("y"))
+    large = rows.where(F.col("size") > BLOCK).select("rep", "cluster", "component", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    large = large.select("rep", "cluster", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("cluster").alias("key"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    dealt = small.unionByName(large).join(sigs, "rep").join(sets, "rep")
 
     def run(table: pa.Table) -> pa.Table:
-        own, rep, comp = (table.column(c).to_numpy() for c in ("own", "rep", "component"))
+        rep, comp, side, cluster = (table.column(c).to_numpy() for c in ("rep", "component", "side", "cluster"))
         sig = _sig_rows(table.column("sig"))
-        x = table.column("x")[0].as_py()
-        left = np.flatnonzero(own == x)
-        right = np.flatnonzero(own != x) if (own != x).any() else left
-        a, b = [], []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & (rep[right] > rep[i] if right is left else True)]
-            js = js[survives(np.broadcast_to(sig[i], (len(js), _HASHES)), sig[js], threshold)]
-            a.append(np.minimum(rep[i], rep[js]))
-            b.append(np.maximum(rep[i], rep[js]))
-        cat = lambda p: pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(a), "b": cat(b)})
-
-    many = dealt.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
-    return _pruned(few, sigs, threshold).unionByName(many).distinct()
+        buf, offsets = column_bytes(table.column("hashes"))
+        hashes = [buf[a:b].view(U64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        order, out = np.argsort(cluster, kind="stable"), []
+        for part in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            out += _linked(rep[part], comp[part], side[part], sig[part], [hashes[i] for i in part], percent)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,7 +277,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
             pairs = members.join(pivots, "bucket").where("component <> pc").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
             found = _confirmed(materialise(_pruned(materialise(pairs), sigs, threshold)), sets, percent)
         else:
-            found = _confirmed(materialise(_leftover(members, sigs, threshold)), sets, percent)
+            found = _leftover(members, sigs, sets, percent)
         found = materialise(found)
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash
+from . import bpe, minhash, mixing, repeats, toxicity
 from .core import read_table
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,16 +16,57 @@ RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 OP7_PERCENT, OP7_WIDTH = 85, 3
 
 
+#: Source weights of op1, repeating over the sources in code point order, and the share of all words to take.
+OP1_WEIGHTS, OP1_SHARE, OP1_COPIES = (3.0, 1.0, 2.0), 1.5, 2
+#: Labels whose crc32(doc_id) has this remainder by 5 are held out of training.
+HELD_OUT = 0
+OP6_LENGTH = 100
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = mixing.mix(docs, OP1_WEIGHTS, OP1_SHARE, OP1_COPIES)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS_PATH) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.round_trip(docs, Path(ranks_path).read_bytes(), public_tokenizers.PATTERN)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == HELD_OUT
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on at most toxicity.MAX_POSITIVE + toxicity.MAX_NEGATIVE labelled rows that are not held out."""
+    labels = read_table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.fit(docs.join(labels, "doc_id"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), OP6_LENGTH)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), OP7_WIDTH, OP7_PERCENT)
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op7_minhash": op7_minhash}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op6_repeats": op6_repeats,
+    "op7_minhash": op7_minhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
