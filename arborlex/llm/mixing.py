@@ -7,14 +7,14 @@ level follows from running sums over the sources in order of cap / weight.
 Documents: with r = target / source size, every document gets floor(r) certain copies; the rest of the target goes
 to a sample. A document's inclusion probability is the rest's share, times its importance over its source's mean
 importance where an importance is given; where that reaches 1 the copy is certain. U being a hash of the document
-in (0, 1), the documents with the least (U / (1 - U)) / (p / (1 - p)) are taken, as many as bring the source's
-taken words nearest to its target.
+in (0, 1), the documents with the least (U / (1 - U)) / (p / (1 - p)) are taken, as many as fit into the
+source's target; of the last ones, those that bring the taken words nearer to it.
 
 The cut is found in two steps, so that no task sees a whole source: sums over LEVELS ranges of the rank value,
-then a running sum inside the one range in which the target lies. No document gets more than max_copies copies.
+then running sums inside the ranges. No document gets more than max_copies copies.
 
 Null texts have size 0 and are never taken more than a document without words is: such documents take 0 words.
-A null source is a source of its own. Repeated rows count each; ties in rank go by id, then by the hash of the
+A null source is a source of its own. Equal rows are taken together; ties in rank go by id, then by the hash of the
 row. An empty table gives an empty one. The result depends on the rows only.
 """
 
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .core import drop, materialise
 
 LEVELS = 4096
+#: Passes down the ranking: what a document too long for the rest leaves open goes to later, shorter ones.
+PASSES = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,7 +68,10 @@ def mix(
     gain = F.coalesce(F.greatest(F.col(importance).cast("double"), F.lit(0.0)), F.lit(1.0)) if importance else F.lit(1.0)
     tie = F.xxhash64(*(F.col(c) for c, t in documents.dtypes if not t.startswith(("map", "variant"))))
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = materialise(documents.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), gain.alias("gain"), u.alias("u"), tie.alias("tie")))
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("one"), gain.alias("gain"), u.alias("u"), tie.alias("tie"))
+    # equal rows are one unit: all of them are taken as often
+    rows = rows.groupBy("_id", "tie").agg(*(F.first(c).alias(c) for c in ("source", "one", "gain", "u")), (F.first("one") * F.count("*")).alias("size"))
+    rows = materialise(rows)
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("gain")).alias("gained"))
     named = sums.select("source", "source_size")
     targets = source_targets(named, weights, share, max_copies).select(F.col("source").alias("s"), "target")
@@ -89,26 +94,28 @@ def mix(
     mean = F.greatest(F.least(ratio - F.floor(ratio), F.lit(1 - 1e-9)), F.lit(1e-9))
     spread = F.col("rank") * mean / (1 - mean)
     ranked = ranked.withColumn("cell", F.least(F.floor(spread / (1 + spread) * LEVELS), F.lit(LEVELS - 1)).cast("int"))
-    ranked = materialise(ranked.select("_id", "tie", "k", "size", "source_size", "target", "whole", "sure", "rank", "cell"))
-    fixed = F.col("whole") + F.col("sure").cast("int")
-    cells = ranked.groupBy("k", "cell").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(fixed * F.col("size")).alias("certain"), F.max("target").alias("target"))
-    own = Window.partitionBy("k")
-    rest = F.first("target").over(own) - F.sum("certain").over(own)
-    upto = F.sum("words").over(own.orderBy(F.col("cell").asc_nulls_first()))
-    cells = cells.select("k", "cell", rest.alias("rest"), upto.alias("upto"), F.col("words"))
-    cut = cells.where("cell is not null and upto - words < rest and upto >= rest").select("k", F.col("cell").alias("cut"), (F.col("rest") - F.col("upto") + F.col("words")).alias("missing"))
-    level = materialise(cells.groupBy("k").agg(F.max("rest").alias("rest")).join(cut, "k", "left").select("k", F.coalesce("cut", F.when(F.col("rest") > 0, LEVELS).otherwise(-1)).alias("cut"), F.coalesce("missing", F.lit(0.0)).alias("missing")))
-    edge = ranked.join(level, "k").where("cell = cut")
-    running = F.sum("size").over(Window.partitionBy("k").orderBy("rank", "_id", "tie").rowsBetween(Window.unboundedPreceding, 0))
-    # a document is taken if more than half of it still fits
-    near = materialise(edge.withColumn("before", running - F.col("size")).where(F.col("missing") - F.col("before") > F.col("size") / 2).groupBy("_id", "tie").agg(F.count("*").alias("times"), F.first("rank").alias("r")))
-    extra = F.when(F.col("cell") < F.col("cut"), 1).when((F.col("cell") == F.col("cut")) & F.col("times").isNotNull(), 1).otherwise(0)
-    same = (F.col("_id").eqNullSafe(F.col("_i"))) & (F.col("tie") == F.col("_t"))
-    chosen = ranked.join(level, "k").join(near.select(F.col("_id").alias("_i"), F.col("tie").alias("_t"), "times"), same, "left")
-    copies = F.col("whole") + F.col("sure").cast("int") + F.when(F.col("rank").isNull(), 0).otherwise(extra)
-    plan = materialise(chosen.select(F.col("_id").alias("_i"), F.col("tie").alias("_t"), "size", "source_size", "target", copies.cast("int").alias("copies")).distinct())
-    for old in (rows, sources, ranked, level, near):
+    fixed = (F.col("whole") + F.col("sure").cast("int")).cast("int")
+    state = materialise(ranked.select("_id", "tie", "k", "one", "size", "source_size", "target", "rank", "cell", fixed.alias("copies"), F.lit(False).alias("done")))
+    for old in (rows, sources):
         drop(old)
+    for last in [False] * (PASSES - 1) + [True]:
+        rest = state.groupBy("k").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
+        now = state.join(materialise(rest), "k")
+        fits = F.col("rank").isNotNull() & ~F.col("done") & (F.col("size") <= F.col("rest") * (2 if last else 1))
+        now = materialise(now.withColumn("free", fits))
+        cells = now.where("free").groupBy("k", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        cells = cells.withColumn("upto", F.sum("words").over(Window.partitionBy("k").orderBy("cell")))
+        cut = materialise(cells.where("upto > rest").groupBy("k").agg(F.min(F.struct("cell", (F.col("rest") - F.col("upto") + F.col("words")).alias("missing"))).alias("cut")))
+        # a running sum inside each range; only the one in which the target lies matters
+        inside = F.sum(F.when(F.col("free"), F.col("size")).otherwise(0)).over(Window.partitionBy("k", "cell").orderBy("rank", "_id", "tie").rowsBetween(Window.unboundedPreceding, 0))
+        room = F.col("cut.missing") + (F.col("size") / 2 if last else F.lit(0.0))
+        take = F.col("free") & (F.col("cut").isNull() | (F.col("cell") < F.col("cut.cell")) | ((F.col("cell") == F.col("cut.cell")) & (F.col("inside") <= room)))
+        new = now.withColumn("inside", inside).join(cut, "k", "left").withColumn("take", take)
+        new = materialise(new.select("_id", "tie", "k", "one", "size", "source_size", "target", "rank", "cell", (F.col("copies") + F.col("take").cast("int")).alias("copies"), (F.col("done") | F.col("take")).alias("done")))
+        drop(state)
+        drop(now)
+        state = new
+    plan = state.select(F.col("_id").alias("_i"), F.col("tie").alias("_t"), F.col("one").alias("size"), "source_size", "target", "copies")
     out = documents.withColumn("_id", F.col(id_col)).withColumn("_tie", tie)
     out = out.join(plan, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")
     return out.select(*documents.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

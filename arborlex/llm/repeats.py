@@ -33,9 +33,9 @@ from .core import _BYTES, U64, _powers, column_bytes, drop, materialise, mix64
 
 #: Text bytes in a shard, and for each bucket of anchors.
 SHARD_BYTES = 4 << 20
-BUCKET_BYTES = 4 << 20
-#: Symbols whose suffixes one sort orders, and which one merge holds.
-_SORT, _PIECE = 1 << 19, 1 << 20
+BUCKET_BYTES = 1 << 20
+#: Symbols in a shard of an index, and in an index, unless one anchor alone has more; bytes hashed together.
+_SORT, _INDEX, _PIECE = 1 << 16, 1 << 18, 1 << 20
 _POS_BITS = 24
 
 
@@ -160,26 +160,33 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)  # rises with h
 
 
+def _step(length: int) -> int:
+    return next(k for k in (4, 2, 1) if length % k == 0)
+
+
 def _windows_to_remove(texts: np.ndarray, lengths: np.ndarray, n: np.ndarray, doc: np.ndarray, pos: np.ndarray, tie: np.ndarray, length: int) -> np.ndarray:
     """For distinct segments, a bit for each of their windows that has an equal one earlier."""
-    masks = np.zeros(len(n), U64)
-    shards, seg, off = [], [], []
-    starts = np.cumsum(lengths) - lengths
+    masks, shards, seg, off = np.zeros(len(n), U64), [], [], []
+    ends = np.cumsum(lengths + 1)
     i = 0
     while i < len(n):
-        j = max(i + 1, int(np.searchsorted(starts + lengths + np.arange(1, len(n) + 1), starts[i] + i + _SORT, "right")))
-        sym = bwt.symbols(texts[starts[i] : starts[j - 1] + lengths[j - 1]], lengths[i:j])
-        shards.append(bwt.build(sym))
-        s = np.repeat(np.arange(i, j), lengths[i:j] + 1)
-        o = np.arange(len(sym)) - np.repeat(starts[i:j] - starts[i] + np.arange(j - i), lengths[i:j] + 1)
+        start = int(ends[i] - lengths[i] - 1)
+        j = max(i + 1, int(np.searchsorted(ends, start + _SORT, "right")))
+        sym = bwt.symbols(texts[start - i : ends[j - 1] - j], lengths[i:j])
+        shards.append(bwt.build(sym, _step(length)))
+        s = np.repeat(np.arange(i, j, dtype=np.int32), lengths[i:j] + 1)
+        o = np.arange(start, ends[j - 1], dtype=np.int32) - np.repeat((ends - lengths - 1)[i:j].astype(np.int32), lengths[i:j] + 1)
         seg.append(s[shards[-1].sa])
         off.append(o[shards[-1].sa])
         i = j
-    rows, lcp = bwt.merge(shards, length)
+    rows, interval = bwt.merge(shards, length, _step(length))
+    first, end = bwt.repeated_intervals(interval)
+    many = np.zeros(len(rows) + 1, np.int32)
+    many[first] += 1
+    many[end] -= 1
+    many = np.cumsum(many[:-1]) > 0
+    rows, interval = rows[many], interval[many]
     seg, off = np.concatenate(seg)[rows], np.concatenate(off)[rows]
-    interval = np.cumsum(lcp < length)
-    window = off < n[seg]
-    seg, off, interval = seg[window], off[window], interval[window]
     order = np.lexsort((tie[seg], pos[seg] + off, doc[seg], interval))
     later = np.zeros(len(order), bool)
     later[1:] = interval[order][1:] == interval[order][:-1]
@@ -271,12 +278,18 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
         own = order[new]
         masks[own] = 0
         group = (np.cumsum(anchor) - 1)[new]
-        several = np.sort(own[np.bincount(group)[group] > 1])
-        if len(several):
-            lengths = n + length - 1
-            starts = np.cumsum(lengths) - lengths
-            texts = _gather(raw["texts"][0], starts[several], lengths[several])
-            masks[several] = _windows_to_remove(texts, lengths[several], n[several], doc[several], pos[several], tie[several], length)
+        several = own[np.bincount(group)[group] > 1]  # in order of their anchors
+        lengths = n + length - 1
+        starts = np.cumsum(lengths) - lengths
+        # equal windows have equal anchors: an index need not reach over anchors
+        size = np.cumsum(lengths[several])
+        last = np.flatnonzero(np.append(h[several][1:] != h[several][:-1], True)) if len(several) else np.zeros(0, np.int64)
+        cut, i = last[np.append(size[last][1:] // _INDEX != size[last][:-1] // _INDEX, True)] + 1 if len(last) else last, 0
+        for j in cut:
+            part = several[i:j]
+            texts = _gather(raw["texts"][0], starts[part], lengths[part])
+            masks[part] = _windows_to_remove(texts, lengths[part], n[part], doc[part], pos[part], tie[part], length)
+            i = j
         cuts = raw["h"][1] // 8
         return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "masks": pa.array([masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
