@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, repeats, toxicity
+from . import bpe, licences, minhash, mixing, quality, repeats, toxicity, vafile
 from .core import read_table
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +21,7 @@ OP1_WEIGHTS, OP1_SHARE, OP1_COPIES = (3.0, 1.0, 2.0), 1.5, 2
 #: Labels whose crc32(doc_id) has this remainder by 5 are held out of training.
 HELD_OUT = 0
 OP6_LENGTH = 100
+OP8_K = 10
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS_PATH)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.line_frequency(read_table(spark, sf_dir, "documents"))
+
+
 def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == HELD_OUT
 
@@ -61,12 +66,24 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), OP7_WIDTH, OP7_PERCENT)
 
 
+def op8_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vafile.top_k(vectors, vectors.where("vec_id % 100 = 0"), OP8_K)
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_frequency": op3_line_frequency,
     "op5_toxicity": op5_toxicity,
     "op6_repeats": op6_repeats,
     "op7_minhash": op7_minhash,
+    "op8_vafile": op8_vafile,
+    "op10_licences": op10_licences,
 }
 
 ORACLE_SQL: dict[str, str] = {}
