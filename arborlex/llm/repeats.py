@@ -19,7 +19,6 @@ of repeated rows one copy stays. Texts shorter than `length` stay as they are. O
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,7 @@ from pyspark.sql import types as T
 
 from . import bwt
 from .core import _BYTES, U64, _powers, column_bytes, drop, materialise, mix64
+from .shards import bucket_cuts, pack, unpack
 
 #: Text bytes in a shard, and for each bucket of anchors.
 SHARD_BYTES = 4 << 20
@@ -39,46 +39,11 @@ _SORT, _INDEX, _PIECE = 1 << 16, 1 << 18, 1 << 20
 _POS_BITS = 24
 
 
-def _pack(documents: DataFrame, id_col: str, text: str) -> DataFrame:
-    names = documents.columns
-    at_id, at_text = names.index(id_col), names.index(text)
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            table = table.take(pa.compute.sort_indices(table.column(at_id), null_placement="at_end")).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
-            name = int.from_bytes(os.urandom(8), "little") >> 1
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "size", "batch"])
-
-        for batch in batches:
-            _, offsets = column_bytes(batch.column(at_text))
-            i = 0
-            while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SHARD_BYTES - size, "right")) - 1)
-                j = min(j, batch.num_rows)
-                held.append(batch.slice(i, j - i))
-                size += int(offsets[j] - offsets[i])
-                i = j
-                if size >= SHARD_BYTES or i < batch.num_rows:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    return documents.mapInArrow(shards, "shard long, size long, batch binary")
-
-
 class _Runs:
     """Segments of a shard: start p, number of windows n, anchor place q and anchor hash h."""
 
     def __init__(self, packed: bytes, id_at: int, text_at: int, length: int, window: int):
-        table = pa.ipc.open_stream(packed).read_all()
-        self.table = table.combine_chunks()
+        self.table = unpack(packed)
         self.buf, self.offsets = column_bytes(self.table.column(text_at))
         self.ids = self.table.column(id_at).to_numpy() if not self.table.column(id_at).null_count else None
         if self.ids is None:
@@ -156,10 +121,6 @@ def _gather(buf: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return buf[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - lengths), lengths)]
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)  # rises with h
-
-
 def _step(length: int) -> int:
     return next(k for k in (4, 2, 1) if length % k == 0)
 
@@ -204,7 +165,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     if clash := {"kept", "n_bytes", "n_removed", "n_spans"} & set(names):
         raise ValueError(f"columns of these names are there already: {sorted(clash)}")
     at = (names.index(id_col), names.index(text), length, window)
-    packs = materialise(_pack(documents, id_col, text))
+    packs = materialise(pack(documents, text, SHARD_BYTES, id_col))
     total = packs.agg(F.sum("size")).first()[0] or 0
     buckets = max(32, -(-total // BUCKET_BYTES))
 
@@ -212,11 +173,9 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
         for batch in batches:
             for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, count = np.unique(_Runs(packed.as_py(), *at).h, return_counts=True)
-                b = _bucket(h, buckets)
-                cut = np.flatnonzero(np.diff(b, prepend=-1))
-                ends = np.append(cut[1:], len(h))
+                b, cut, ends = bucket_cuts(h, buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b[cut]), pa.array(np.full(len(cut), shard)), pa.array([h[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()), pa.array([(count[i:j] > 1).tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())],
+                    [pa.array(b), pa.array(np.full(len(cut), shard)), pa.array([h[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()), pa.array([(count[i:j] > 1).tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())],
                     names=["bucket", "shard", "hashes", "many"],
                 )
 
@@ -254,15 +213,14 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
                     continue
                 r = shard_runs(packed, dup)
                 f = r.first
-                b = _bucket(r.h[f], buckets)
-                cut = np.flatnonzero(np.diff(b, prepend=-1))
+                b, cut, ends = bucket_cuts(r.h[f], buckets)
                 doc = np.searchsorted(r.offsets, r.p[f], "right") - 1
                 made = {"h": r.h[f], "key": r.key, "doc": r.ids[doc].astype(np.int64), "pos": r.p[f] - r.offsets[doc], "n": r.n[f].astype(np.uint8)}
                 rows = []
-                for i, j in zip(cut, np.append(cut[1:], len(f)), strict=True):
+                for i, j in zip(cut, ends, strict=True):
                     rows.append([made[c][i:j].tobytes() for c in columns[:-1]] + [_gather(r.buf, r.p[f[i:j]], r.n[f[i:j]] + length - 1).tobytes()])
                 arrays = [pa.array([x[k] for x in rows], pa.binary()) for k in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([pa.array(b[cut]), pa.array(np.full(len(cut), shard)), *arrays], names=["bucket", "shard", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.full(len(cut), shard)), *arrays], names=["bucket", "shard", *columns])
 
     def judge(table: pa.Table) -> pa.Table:
         raw = {c: column_bytes(table.column(c)) for c in columns}
