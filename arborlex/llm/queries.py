@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, minhash, mixing, quality, repeats, toxicity, vafile
+from . import bpe, crossentropy, licences, minhash, mixing, quality, repeats, toxicity, transcripts, vafile
 from .core import read_table
 
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,6 +40,13 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency(read_table(spark, sf_dir, "documents"))
 
 
+def op4_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled of good quality. Background: all documents."""
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("target")).distinct()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return crossentropy.score(docs, "target").select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
 def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == HELD_OUT
 
@@ -71,6 +78,14 @@ def op8_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.where("vec_id % 100 = 0"), OP8_K)
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles train on conversations that are not held out and are recovered in all of them."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    model = transcripts.fit(turns.where(~held_out("conv_id")))
+    out = transcripts.parse(turns.drop("role"), model)
+    return out.select("conv_id", "turn", "part", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
 
@@ -79,10 +94,12 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_frequency": op3_line_frequency,
+    "op4_crossentropy": op4_crossentropy,
     "op5_toxicity": op5_toxicity,
     "op6_repeats": op6_repeats,
     "op7_minhash": op7_minhash,
     "op8_vafile": op8_vafile,
+    "op9_transcripts": op9_transcripts,
     "op10_licences": op10_licences,
 }
 
