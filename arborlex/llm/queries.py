@@ -55,7 +55,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on at most toxicity.MAX_POSITIVE + toxicity.MAX_NEGATIVE labelled rows that are not held out."""
     labels = read_table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.fit(docs, labels)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

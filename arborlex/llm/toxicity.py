@@ -3,7 +3,7 @@
 A word contributes its n-grams of SIZES bytes, the separator before and after it included, hashed to BUCKETS
 vectors. A text's vector is the mean over its distinct n-grams and NEUTRAL zero vectors, so a misspelling that no training text holds still gets most of its
 n-grams from known words. Training is by row-wise Adagrad over fixed mini-batches of a bounded sample of labelled
-rows (max_positive and max_negative, the first by a hash of text and id); scoring covers every row and the whole
+rows (max_positive and max_negative, the first by a hash of the id); scoring covers every row and the whole
 text, and needs one number per bucket only, because mean and softmax are linear up to the last step.
 
 Nulls and texts without a word have no n-grams and get the score of the bias. Rows are scored one by one, so
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import _BYTES, SPACE, U64, _powers, column_bytes, mix64, slices
+from .core import _BYTES, SPACE, U64, _powers, column_bytes, materialise, mix64, slices
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -136,16 +136,21 @@ def train(buf: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int =
     return Model(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def sample(labelled: DataFrame, max_positive: int, max_negative: int, text: str, label: str) -> DataFrame:
-    """The bounded training sample, the same on every run."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    kind = lambda y, n: rows.where(F.col("label") == y).orderBy(F.xxhash64("text"), "text").limit(n)
+def sample(documents: DataFrame, labels: DataFrame, max_positive: int, max_negative: int, id_col: str, label: str) -> DataFrame:
+    """(id, label) of the bounded training sample, the first by a hash of the id, the same on every run."""
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    rows = rows.join(documents.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    kind = lambda y, n: rows.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     return kind(1, max_positive).unionByName(kind(0, max_negative))
 
 
-def fit(labelled: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, text: str = "text", label: str = "label") -> Model:
-    """A model of at most max_positive + max_negative labelled rows; labels other than 0 and 1 do not count."""
-    table = sample(labelled, max_positive, max_negative, text, label).toArrow()
+def fit(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, id_col: str = "doc_id", text: str = "text", label: str = "label") -> Model:
+    """A model of at most max_positive + max_negative labelled documents; labels other than 0 and 1 do not count.
+
+    The sample is bounded, so its ids may be broadcast; texts are not shuffled. Rows that repeat an id all count."""
+    chosen = materialise(sample(documents, labels, max_positive, max_negative, id_col, label))
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    table = rows.toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     buf, offsets = column_bytes(table.column("text"))
     return train(buf, offsets, table.column("label").to_numpy().astype(np.int64))
 
