@@ -1,7 +1,7 @@
 """Toxicity: byte n-gram vectors, averaged over a text, into a linear softmax; both trained together in numpy.
 
-A word contributes its n-grams of SIZES bytes, the separator before and after it included, hashed to BUCKETS
-vectors. A text's vector is the mean over its distinct n-grams and NEUTRAL zero vectors, so a misspelling that no training text holds still gets most of its
+Each distinct word of a text contributes its n-grams of SIZES bytes, the separator before and after it included,
+hashed to BUCKETS vectors. A text's vector is their mean, NEUTRAL zero vectors included, so a misspelling that no training text holds still gets most of its
 n-grams from known words. Training is by row-wise Adagrad over fixed mini-batches of a bounded sample of labelled
 rows (max_positive and max_negative, the first by a hash of the id); scoring covers every row and the whole
 text, and needs one number per bucket only, because mean and softmax are linear up to the last step.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import _BYTES, SPACE, U64, _powers, column_bytes, materialise, mix64, slices
+from .core import _BYTES, U64, _powers, column_bytes, materialise, mix64, slices, words
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -32,40 +32,47 @@ NEUTRAL = 1000
 MIN_TEXTS = 6
 DIMENSIONS = 8
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
-EPOCHS, BATCH_DOCS, RATE, INIT = 12, 32, 0.3, 0.02
+EPOCHS, BATCH_DOCS, RATE, INIT = 20, 32, 30.0, 0.02
+#: Start of the sums of squared gradients: rare n-grams then move by what they add up to, not by their own scale.
+DAMPING = 1e-5
 #: A positive text weighs twice what makes both kinds equal, up to this: missing one is worse than the reverse.
-MAX_WEIGHT = 8.0
+MAX_WEIGHT = 4.0
+
+
+def distinct_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' distinct words, A-Z lower-cased, one separator before each: (bytes, offsets)."""
+    h, start, end, first = words(buf, offsets, fold_case=True)
+    keep = [a + np.sort(np.unique(h[a:b], return_index=True)[1]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    counts = np.array([0, *map(len, keep)])
+    keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+    lengths = end[keep] - start[keep] + 1
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    x = buf[np.maximum(np.arange(ends[-1]) + np.repeat(start[keep] - 1 - ends[:-1], lengths), 0)]
+    x[ends[:-1]] = 32
+    return x, ends[np.cumsum(counts)]
 
 
 def ngrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every n-gram, document by document; first n-gram of each document). Separators count as one byte."""
-    docs = len(offsets) - 1
-    lengths = np.diff(offsets)
-    total = len(buf) + docs + 1
-    at = np.arange(len(buf)) + np.repeat(np.arange(1, docs + 1), lengths)
-    x = np.full(total, 32, np.uint8)  # a separator before each document and after the last
-    x[at] = np.where(SPACE[buf], 32, buf)
+    """(bucket of every n-gram of the distinct words, document by document; first n-gram of each document)."""
+    x, starts = distinct_words(buf, offsets)
+    docs, total = len(offsets) - 1, len(x) + 1
+    x = np.append(x, np.uint8(32))
     power, inverse = _powers(total)
     sums = np.zeros(total + 1, U64)
     np.cumsum(_BYTES[True][x] * power, dtype=U64, out=sums[1:])
-    gaps = np.concatenate(([0], np.cumsum(x == 32)))
-    found, where = [], []
+    gaps = np.concatenate(([0], np.cumsum(x == 32, dtype=np.int32)))
+    found, cuts = [], []
     for n in SIZES:
-        last = total - n + 1
-        if last <= 0:
-            continue
-        inner = np.flatnonzero(gaps[n - 1 : n - 1 + last] == gaps[1 : 1 + last])
+        last = max(0, total - n + 1)
+        inner = np.flatnonzero(gaps[n - 1 : n - 1 + last] == gaps[1 : 1 + last]) if last else np.zeros(0, np.int64)
         h = (sums[inner + n] - sums[inner]) * inverse[inner]
         found.append((mix64(h + U64(n)) >> U64(44)).astype(np.int32))
-        where.append(inner)
-    if not found:
-        return np.zeros(0, np.int32), np.zeros(docs + 1, np.int64)
-    starts = offsets + np.arange(docs + 1)
-    cuts = [np.searchsorted(w, starts) for w in where]
+        cuts.append(np.searchsorted(inner, starts))
+        cuts[-1][-1] = len(inner)
     if docs == 1:
         return np.concatenate(found), np.array([0, sum(map(len, found))])
     out = [f[c[i] : c[i + 1]] for i in range(docs) for f, c in zip(found, cuts, strict=True)]
-    return np.concatenate(out), sum(cuts)
+    return np.concatenate(out) if out else np.zeros(0, np.int32), sum(cuts)
 
 
 @dataclass
@@ -77,8 +84,8 @@ class Model:
 
     def scores(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         grams, first = ngrams(buf, offsets)
-        bags = [np.unique(grams[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        odds = np.array([self.parts[x].sum(dtype=np.float64) / (len(x) + NEUTRAL) for x in bags]) + self.bias
+        sums = np.concatenate(([0.0], np.cumsum(self.parts[grams], dtype=np.float64)))
+        odds = np.diff(sums[first]) / (np.diff(first) + NEUTRAL) + self.bias
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
@@ -91,14 +98,14 @@ def train(buf: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int =
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIMENSIONS)) - 0.5) * INIT).astype(np.float32)
     out = (rng.standard_normal((DIMENSIONS, 2)) * 0.5).astype(np.float32)
-    bias, speed = np.zeros(2, np.float32), np.full(BUCKETS, 1e-12, np.float32)
+    bias, speed = np.zeros(2, np.float32), np.full(BUCKETS, DAMPING, np.float32)
     out_speed, bias_speed = np.full_like(out, 1e-8), np.full(2, 1e-8, np.float32)
     weight = np.where(labels == 1, min(MAX_WEIGHT, 2 * (len(labels) - positive) / positive), 1.0).astype(np.float32)
     texts = []
     for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
         g, _ = ngrams(buf[lo:hi], np.array([0, hi - lo]))
-        g = np.unique(g)
-        texts.append((g, np.full(len(g), 1 / (len(g) + NEUTRAL), np.float32)))
+        distinct, count = np.unique(g, return_counts=True)
+        texts.append((distinct, (count / (len(g) + NEUTRAL)).astype(np.float32)))
     common = np.bincount(np.concatenate([g for g, _ in texts]), minlength=BUCKETS) >= MIN_TEXTS
     vectors[~common] = 0
     order, batches = rng.permutation(len(labels)), []
@@ -130,9 +137,9 @@ def train(buf: np.ndarray, offsets: np.ndarray, labels: np.ndarray, seed: int =
             vectors[used] -= rate * grad / np.sqrt(speed[used])[:, None]
             step = mean.T @ p
             out_speed += step * step
-            out -= 0.2 * rate * step / np.sqrt(out_speed)
+            out -= 0.06 * rate / RATE * step / np.sqrt(out_speed)
             bias_speed += p.sum(0) ** 2
-            bias -= 0.2 * rate * p.sum(0) / np.sqrt(bias_speed)
+            bias -= 0.06 * rate / RATE * p.sum(0) / np.sqrt(bias_speed)
     return Model(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
