@@ -1,0 +1 @@
+"""Ready-made plans over the driver tables."""
