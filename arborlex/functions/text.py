@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"[\p{L}\p{N}]+"
 #: The space characters that count as a plain space, as ranges of a character class.
 EXOTIC_SPACES = r"[\t  -​  　]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Unicode normal form C. Spark has no function for it; Arrow batches, and ASCII strings pass as they are."""
     return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
