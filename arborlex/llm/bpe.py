@@ -11,7 +11,8 @@ Decoding. Token bytes run through an incremental UTF-8 automaton whose state is
 or cut sequence becomes U+FFFD, as bytes.decode(errors="replace") would give.
 
 Nulls are empty texts; an empty text has no tokens. Rows, repeated or not, are encoded one by one, so ties and
-skew play no part; other columns pass through untouched.
+skew play no part; other columns pass through, but columns that have the new ones' names are replaced. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -250,13 +251,12 @@ def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _with_columns(df: DataFrame, *names: str) -> T.StructType:
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"columns of these names are there already: {sorted(clash)}")
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.BinaryType() if n.endswith("ids") else T.StringType()) for n in names)])
 
 
 def _mapped(df: DataFrame, text: str, ranks: bytes, pattern: str, names: tuple[str, ...]) -> DataFrame:
     """names: the new columns for the packed ids and, if two, the text decoded from them."""
+    df = df.drop(*set(names) - {text})
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file: its size is fixed
     schema = _with_columns(df, *names)
 
@@ -285,6 +285,7 @@ def round_trip(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", to
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds the text of packed token ids; null ids give an empty text."""
+    df = df.drop(to)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     schema = _with_columns(df, to)
 

@@ -11,7 +11,8 @@ pairs, buckets add them up over shards and send each shard the counts of what it
 its shard or bucket, not the corpus. Only five totals reach the driver.
 
 Null and empty texts have no tokens and null losses. Words are runs other than the six ASCII separators, A-Z
-lower-cased. Repeated rows count each; other columns pass through.
+lower-cased. Repeated rows count each; other columns pass through, those
+named like a new column are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import U64, column_bytes, drop, materialise, mix64, words
+from .core import U64, column_bytes, drop, materialise, mix64, slices, words
 from .shards import bucket_cuts, pack, unpack
 
 MIN_COUNT = 2
@@ -53,7 +54,12 @@ class _Tokens:
     def __init__(self, packed: bytes, text_at: int, target_at: int):
         self.table = unpack(packed)
         buf, offsets = column_bytes(self.table.column(text_at))
-        h, _, _, self.first = words(buf, offsets, fold_case=True)
+        parts, firsts = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+        for i, j in slices(offsets):  # a slice at a time: hashing takes many bytes per byte of text
+            h, _, _, first = words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], fold_case=True)
+            parts.append(h)
+            firsts.append(firsts[-1][-1] + first[1:])
+        h, self.first = np.concatenate(parts), np.concatenate(firsts)
         self.word = h & ~U64(1)
         self.starts = np.zeros(len(h), bool)
         self.starts[self.first[:-1][self.first[:-1] < self.first[1:]]] = True
@@ -74,8 +80,7 @@ class _Tokens:
 def score(documents: DataFrame, target: str, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """The input's rows and columns with n_tokens, target_loss, background_loss and score. target: a boolean column."""
     added = ("n_tokens", "target_loss", "background_loss", "score")
-    if clash := set(added) & set(documents.columns):
-        raise ValueError(f"columns of these names are there already: {sorted(clash)}")
+    documents = documents.drop(*set(added) - {target, text})
     at = (documents.columns.index(text), documents.columns.index(target))
     packs = materialise(pack(documents, text, SHARD_BYTES))
     total = packs.agg(F.sum("size")).first()[0] or 0

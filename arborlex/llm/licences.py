@@ -8,7 +8,8 @@ LONG_RUN words in a row, is a span and gives the template's label. Short fixed p
 
 Only words of the templates or phrases can take part, so the automaton runs over stretches of at least MIN_MATCH
 such words; texts are whole, cut nowhere. A null or empty text has no words. Rows are scanned one by one: ties and
-repeated rows play no part, an empty table gives an empty one, other columns pass through.
+repeated rows play no part, an empty table gives an empty one, other columns pass through,
+those named like a new column are replaced.
 """
 
 from __future__ import annotations
@@ -190,8 +191,7 @@ _ARROW = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struc
 
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     """The input's rows and columns with n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
-    if clash := {c for c, _ in _FIELDS} & set(documents.columns):
-        raise ValueError(f"columns of these names are there already: {sorted(clash)}")
+    documents = documents.drop(*({c for c, _ in _FIELDS} - {text}))
     schema = T.StructType([*documents.schema.fields, *(T.StructField(c, t) for c, t in _FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ then running sums inside the ranges. No document gets more than max_copies copie
 Null texts have size 0 and are never taken more than a document without words is: such documents take 0 words.
 A null source is a source of its own. Equal rows are taken together; ties in rank go by id, then by the hash of the
 row. An empty table gives an empty one. The result depends on the rows only.
+Other columns pass through, but for those named like a new column (or _id, _tie, _i, _t), which are dropped.
 """
 
 from __future__ import annotations
@@ -63,8 +64,7 @@ def mix(
     importance: str | None = None,
 ) -> DataFrame:
     """The input's rows with size, source_size, target, copies and taken (= copies * size)."""
-    if clash := {"size", "source_size", "target", "copies", "taken"} & set(documents.columns):
-        raise ValueError(f"columns of these names are there already: {sorted(clash)}")
+    documents = documents.drop("size", "source_size", "target", "copies", "taken", "_id", "_tie", "_i", "_t")
     gain = F.coalesce(F.greatest(F.col(importance).cast("double"), F.lit(0.0)), F.lit(1.0)) if importance else F.lit(1.0)
     tie = F.xxhash64(*(F.col(c) for c, t in documents.dtypes if not t.startswith(("map", "variant"))))
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))

@@ -14,7 +14,8 @@ start. Overlaps count, and strings are judged on the input.
 
 A text that a third of all documents share is thus one message per shard. Texts are UTF-8 bytes; a null is an
 empty text. Null ids come last, and rows that share an id (or have none) order by shard and place within it, so
-of repeated rows one copy stays. Texts shorter than `length` stay as they are. Other columns pass through.
+of repeated rows one copy stays. Texts shorter than `length` stay as they are. Other columns pass through, those
+named like a new column are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -161,9 +162,8 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     window = 64
     if length <= window + 8:
         raise ValueError("strings must be longer than 72 bytes")
+    documents = documents.drop("kept", "n_bytes", "n_removed", "n_spans")
     names = documents.columns
-    if clash := {"kept", "n_bytes", "n_removed", "n_spans"} & set(names):
-        raise ValueError(f"columns of these names are there already: {sorted(clash)}")
     at = (names.index(id_col), names.index(text), length, window)
     packs = materialise(pack(documents, text, SHARD_BYTES, id_col))
     total = packs.agg(F.sum("size")).first()[0] or 0

@@ -65,4 +65,4 @@ def bucket_cuts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np
     """(bucket, first, end) of each bucket's part of sorted hashes."""
     b = bucket_of(h, buckets)
     first = np.flatnonzero(np.diff(b, prepend=-1))
-    return b[first], first, np.append(first[1:], len(h))
+    return b[first], first, np.append(first[1:], len(h))[: len(first)]  # no hashes, no buckets

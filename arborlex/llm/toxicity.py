@@ -7,7 +7,8 @@ rows (max_positive and max_negative, the first by a hash of the id); scoring cov
 text, and needs one number per bucket only, because mean and softmax are linear up to the last step.
 
 Nulls and texts without a word have no n-grams and get the score of the bias. Rows are scored one by one, so
-repeated rows get equal scores; other columns pass through. Without labelled rows of both kinds, every score is the
+repeated rows get equal scores; other columns pass through, one
+named like the score is replaced. Without labelled rows of both kinds, every score is the
 share of positive labels (0 where there are none).
 """
 
@@ -164,8 +165,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIV
 
 def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """Adds each whole text's probability of label 1."""
-    if to in df.columns:
-        raise ValueError(f"there is a column {to} already")
+    df = df.drop(to)
     shared = df.sparkSession.sparkContext.broadcast((model.parts.astype(np.float32), model.bias))  # BUCKETS numbers
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.DoubleType())])
 

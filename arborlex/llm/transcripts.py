@@ -117,20 +117,21 @@ def _dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def _numbered(turns: DataFrame, conv: str, turn: str, text: str) -> tuple[DataFrame, int]:
+def _numbered(turns: DataFrame, conv: str, turn: str, text: str, role: str | None = None) -> tuple[DataFrame, int]:
     """Rows by conversation, block and place, and the number of blocks that the longest one may have."""
     low, high = turns.agg(F.min(turn), F.max(turn)).first()
     low, high = (low or 0), (high or 0)
     place = F.coalesce(F.col(turn).cast("long") - F.lit(low) + 1, F.lit(0))
     rows = turns.select(
-        F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("")).alias("conv"), F.floor(place / BLOCK).cast("long").alias("block"), place.alias("place"), F.xxhash64(text).alias("tie"), "*"
-    )
+        F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("")).alias("conv"), F.floor(place / BLOCK).cast("long").alias("block"), place.alias("place"), F.xxhash64(text).alias("tie"),
+        F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(text).alias("said"), (F.col(role) if role else F.lit(None).cast("string")).alias("who"),
+    )
     return rows, (high - low + 1) // BLOCK + 1
 
 
 def fit(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Model:
     """Counts over all given turns; what reaches the driver is the model's own table."""
-    rows, _ = _numbered(turns, conv, turn, text)
+    rows, _ = _numbered(turns, conv, turn, text, role)
     size = STATES * (STATES + sum(SIZES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +153,7 @@ def fit(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["at", "n"])
 
-    dealt = _dealt(rows.select("conv", "block", "place", "tie", F.col(role).alias("who"), F.col(text).alias("said")), ["conv", "block"], ["place", "tie"])
+    dealt = _dealt(rows.select("conv", "block", "place", "tie", "who", "said"), ["conv", "block"], ["place", "tie"])
     found = dealt.select("conv", "block", "who", "said").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     counts = np.zeros(size)
     for row in found.collect():  # at most one row for each entry of the model
@@ -168,7 +169,7 @@ def parse(turns: DataFrame, model: Model, conv: str = "conv_id", turn: str = "tu
     """(conv, turn, part, role, n_lines, rendered): the recovered turns; part counts those within an input row."""
     rows, blocks = _numbered(turns, conv, turn, text)
     kinds = dict(turns.dtypes)
-    said = materialise(rows.select("conv", "block", "place", "tie", F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(text).alias("said")))
+    said = materialise(rows.drop("who"))
 
     def block_matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (name, block), own in _groups(batches, 2):
