@@ -27,9 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .core import CACHES, tidy
+
 #: States and remembered pre-tokens that one worker keeps.
 MAX_STATES = 250_000
-MAX_PIECES = 300_000
+MAX_PIECES = 200_000
 #: Longer pre-tokens are not remembered.
 MAX_PIECE_CHARS = 48
 #: Documents that are turned into Python strings together.
@@ -48,7 +50,7 @@ class _State:
 
     def __init__(self, prev: int, pending: bytes, live: tuple, final: tuple):
         self.prev, self.pending, self.live, self.final = prev, pending, live, final
-        self.next: dict[int, tuple[_State, tuple]] = {}
+        self.next: dict[int, tuple[_State, tuple]] | None = None  # most states end a pre-token
 
 
 class Transducer:
@@ -59,13 +61,13 @@ class Transducer:
         self.tokens = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
         self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
-        self.joins: dict[tuple[int, int], bool] = {}
+        self.joins: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.start = _State(-1, b"", ((0, ()),), ())
         self.states: dict[tuple, _State] = {}
-        if len(self.joins) > 4 * self.max_states:
+        if len(self.joins) > 2 * self.max_states:
             self.joins.clear()
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -81,7 +83,7 @@ class Transducer:
     def _judge(self, left: int, right: int) -> bool:
         """Whether the merges keep the two tokens apart where they meet."""
         a, b = self.tokens[left], self.tokens[right]
-        found = self.joins[left, right] = self.merged(a + b) == [a, b]
+        found = self.joins[left << 20 | right] = self.merged(a + b) == [a, b]
         return found
 
     def step(self, state: _State, byte: int) -> tuple[_State, tuple]:
@@ -92,7 +94,7 @@ class Transducer:
             tail = pending[at:]
             if path is None and (token := self.ranks.get(tail)) is not None:
                 before = tokens[-1] if tokens else prev
-                if before >= 0 and (fits := joins.get((before, token))) is None:
+                if before >= 0 and (fits := joins.get(before << 20 | token)) is None:
                     fits = self._judge(before, token)
                 if before < 0 or fits:
                     path = (*tokens, token)
@@ -122,13 +124,18 @@ class Transducer:
             if len(self.states) >= self.max_states:
                 self.reset()
             found = self.states[key] = _State(prev, pending, tuple(live), path[shared:])
-        out = state.next[byte] = (found, emitted)
+        out = (found, emitted)
+        if state.next is None:
+            state.next = {byte: out}
+        else:
+            state.next[byte] = out
         return out
 
     def encode(self, data: bytes) -> list[int]:
         state, out = self.start, []
         for byte in data:
-            state, emitted = state.next.get(byte) or self.step(state, byte)
+            known = state.next
+            state, emitted = (known and known.get(byte)) or self.step(state, byte)
             if emitted:
                 out += emitted
         out += state.final
@@ -245,6 +252,9 @@ def _codec(ranks: bytes, pattern: str) -> tuple[Encoder, Decoder]:
     return Encoder(table, pattern), Decoder(table)
 
 
+CACHES["bpe"] = _codec.cache_clear
+
+
 def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, BATCH_ROWS):
         yield batch.slice(i, BATCH_ROWS)
@@ -261,6 +271,7 @@ def _mapped(df: DataFrame, text: str, ranks: bytes, pattern: str, names: tuple[s
     schema = _with_columns(df, *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy("bpe")
         encoder, decoder = _codec(shared.value, pattern)
         for big in batches:
             for batch in _batches(big):

@@ -6,9 +6,12 @@ bounded size, so the memory of a task follows the largest document and not the p
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel looks at together.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -51,6 +54,24 @@ def drop(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: What a worker process keeps between tasks, by operator, and how to forget it.
+CACHES: dict[str, Callable[[], None]] = {}
+_held: set[str] = set()
+
+
+def tidy(keep: str = "") -> None:
+    """At the start of a task: forgets what other operators keep in this worker and returns freed memory."""
+    others = _held - {keep}
+    for name in others:
+        CACHES[name]()
+        gc.collect()
+    _held.difference_update(others)
+    if keep:
+        _held.add(keep)
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

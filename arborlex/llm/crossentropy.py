@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import U64, column_bytes, drop, materialise, mix64, slices, words
+from .core import U64, column_bytes, drop, materialise, mix64, slices, tidy, words
 from .shards import bucket_cuts, pack, unpack
 
 MIN_COUNT = 2
@@ -87,6 +87,7 @@ def score(documents: DataFrame, target: str, text: str = "text", min_count: int
     buckets = max(32, -(-total // BUCKET_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, t, n = _Tokens(packed.as_py(), *at).counts()
@@ -121,6 +122,7 @@ def score(documents: DataFrame, target: str, text: str = "text", min_count: int
     schema = T.StructType([*documents.schema.fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in added[1:])])
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for packed, told in zip(batch.column(0), batch.column(1), strict=True):
                 x = _Tokens(packed.as_py(), *at)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .core import NON_ALNUM, column_bytes, slices, words
+from .core import NON_ALNUM, column_bytes, slices, tidy, words
 
 # Phrases and their labels, and public licence notices.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -195,6 +195,7 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([*documents.schema.fields, *(T.StructField(c, t) for c, t in _FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         scanner = Scanner()
         for batch in batches:
             buf, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .core import U64, column_bytes, drop, materialise, mix64, slices, words
+from .core import U64, column_bytes, drop, materialise, mix64, slices, tidy, words
 
 BANDS, ROWS = 24, 5
 BATCH = 20
@@ -131,6 +131,7 @@ def _digest(documents: DataFrame, id_col: str, text: str, width: int) -> DataFra
     """(id, n, h1, h2, sig) of each row; h1 and h2 name the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             buf, offsets = column_bytes(batch.column(1))
             for i, j in slices(offsets):
@@ -148,6 +149,7 @@ def _digest(documents: DataFrame, id_col: str, text: str, width: int) -> DataFra
 
 def _bands(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             if batch.num_rows:
                 h = band_hashes(_sig_rows(batch.column(1)))
@@ -159,6 +161,7 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             if batch.num_rows:
                 keep = survives(_sig_rows(batch.column(2)), _sig_rows(batch.column(3)), threshold)
@@ -172,6 +175,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             left, right = (column_bytes(batch.column(k)) for k in (2, 3))
             keep = []
@@ -189,6 +193,7 @@ def _sets(documents: DataFrame, id_col: str, text: str, wanted: DataFrame, width
     """(rep, hashes): the packed shingle sets of the wanted ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             buf, offsets = column_bytes(batch.column(1))
             for i, j in slices(offsets):

@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bwt
-from .core import _BYTES, U64, _powers, column_bytes, drop, materialise, mix64
+from .core import U64, _BYTES, _powers, column_bytes, drop, materialise, mix64, tidy
 from .shards import bucket_cuts, pack, unpack
 
 #: Text bytes in a shard, and for each bucket of anchors.
 SHARD_BYTES = 4 << 20
 BUCKET_BYTES = 1 << 20
 #: Symbols in a shard of an index, and in an index, unless one anchor alone has more; bytes hashed together.
-_SORT, _INDEX, _PIECE = 1 << 16, 1 << 18, 1 << 20
+_SORT, _INDEX, _PIECE = 1 << 16, 1 << 18, 1 << 18
 _POS_BITS = 24
 
 
@@ -170,6 +170,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     buckets = max(32, -(-total // BUCKET_BYTES))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, count = np.unique(_Runs(packed.as_py(), *at).h, return_counts=True)
@@ -207,6 +208,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     columns = ["h", "key", "doc", "pos", "n", "texts"]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for shard, packed, dup in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if dup.as_py() is None:
@@ -256,6 +258,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     schema = T.StructType([*documents.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for packed, dup, answer in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 r = shard_runs(packed, dup)

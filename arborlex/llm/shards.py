@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .core import U64, column_bytes
+from .core import U64, column_bytes, tidy
 
 
 def pack(documents: DataFrame, text: str, shard_bytes: int, sort_by: str | None = None) -> DataFrame:
@@ -22,6 +22,7 @@ def pack(documents: DataFrame, text: str, shard_bytes: int, sort_by: str | None
     at_text, at_sort = documents.columns.index(text), documents.columns.index(sort_by) if sort_by else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held, size = [], 0
 
         def out() -> pa.RecordBatch:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import _BYTES, U64, _powers, column_bytes, materialise, mix64, slices, words
+from .core import U64, _BYTES, _powers, column_bytes, materialise, mix64, slices, tidy, words
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -170,6 +170,7 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         own = Model(*shared.value)
         for batch in batches:
             buf, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))
