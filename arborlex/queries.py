@@ -644,3 +644,180 @@ def release_transitions(spark, d):
     states = F.array(*map(F.lit, ("BUILDING", "VALIDATING", "READY", "ACTIVE", "RETIRED")))
     h = table(spark, d, "orders", "o_custkey", "o_orderkey").select(F.col("o_custkey").alias("release_id"), F.col("o_orderkey").alias("step"), F.get(states, (F.col("o_orderkey") % 5).cast("int")).alias("state"))
     return graph.bad_transitions(h)
+
+
+# ---- corpus, extraction and reviews -------------------------------------------------------------------------------
+
+from arborlex.operators import governance as gov  # noqa: E402
+
+
+def lines_of(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select(F.concat(F.lit("D"), "doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("document_id", (F.col("pos") + 1).alias("line_no"), "text")
+
+
+@query("inspect_documents", f"{W}, i AS (SELECT document_id, count(*) AS pages, avg(CASE WHEN length(line) >= 100 THEN 1.0 ELSE 0.0 END) AS ratio, avg(length(line)) AS mean FROM lines GROUP BY 1) SELECT document_id, pages, round(ratio, 6) AS ratio, CASE WHEN ratio >= 0.95 AND mean >= 500 THEN 'DIGITAL' WHEN ratio >= 0.2 THEN 'MIXED' ELSE 'SCANNED' END AS kind FROM i")
+def inspect_documents(spark, d):
+    return gov.inspect(lines_of(spark, d))
+
+
+@query("node_freeze", "SELECT conv_id AS node_id, min(turn // 3) AS first_page, max(turn // 3) AS last_page, CAST(count(*) AS INTEGER) AS blocks, sha256(string_agg(text, chr(10) ORDER BY turn, text)) AS content_hash FROM conversations GROUP BY conv_id")
+def node_freeze(spark, d):
+    b = table(spark, d, "conversations", "conv_id", "turn", "text").select(F.col("conv_id").alias("node_id"), F.col("turn").alias("position"), F.floor(F.col("turn") / 3).alias("page"), "text")
+    return gov.freeze(b).drop("text")
+
+
+@query("node_counts", f"{W} SELECT document_id, type, count(*) AS n FROM nodes GROUP BY ALL")
+def node_counts(spark, d):
+    return gov.node_counts(nodes(spark, d))
+
+
+@query("hierarchy_labels", f"{W} SELECT node_id, concat_ws(' · ', 'Article ' || split_part(split_part(node_id, '__A', 2), '__C', 1), CASE WHEN type = 'clause' THEN 'Clause ' || key END) AS label FROM nodes WHERE type <> 'document'")
+def hierarchy_labels(spark, d):
+    n = nodes(spark, d).where("type <> 'document'").withColumn("article", F.regexp_extract("node_id", r"__A(\d+)", 1)).withColumn("clause", F.when(F.col("type") == "clause", F.col("key").cast("string")))
+    return n.select("node_id", gov.label(("Article", "article"), ("Clause", "clause")).alias("label"))
+
+
+@query("corpus_navigation", f"{W} SELECT node_id, sha256(text) AS text_sha256 FROM nodes WHERE node_id = 'D1__A1__C1'")
+def corpus_navigation(spark, d):
+    return gov.navigate(nodes(spark, d), "D1", 1, 1).select("node_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("guided_from_ranking", f'WITH {_VEC}, r AS (SELECT g50.query_id, g50.id, grp, CAST(row_number() OVER (PARTITION BY g50.query_id, grp ORDER BY g50.rank) AS INTEGER) AS local_rank FROM g50 JOIN v USING (id) SEMI JOIN a10 USING (query_id, grp) QUALIFY local_rank <= 3) SELECT query_id, grp AS "group", local_rank, id FROM r')
+def guided_from_ranking(spark, d):
+    a, g, _ = scouts(spark, d)
+    return gov.guided_from_ranking(g.join(vectors(spark, d).select("id", "group"), "id"), a.select("query_id", F.col("id").alias("group")))
+
+
+@query("oracle_recall", f"WITH {_BM25}, gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT gold.query_id, min(rank) AS best FROM gold LEFT JOIN top USING (query_id, id) GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN best <= 8 THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) FILTER (best > 2 AND best <= 8) AS ordering_failures FROM m")
+def oracle_recall(spark, d):
+    gold = containing(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    return gov.oracle_recall(bm25_hits(spark, d).withColumnRenamed("doc_id", "id"), gold, 8, 2)
+
+
+@query("latency_summary", "SELECT event_type, round(avg(value), 6) AS mean, round(list_sort(list(value))[CAST(least(floor(0.5 * count(*)) + 1, count(*)) AS INTEGER)], 6) AS p50, round(list_sort(list(value))[CAST(least(floor(0.95 * count(*)) + 1, count(*)) AS INTEGER)], 6) AS p95 FROM events GROUP BY 1")
+def latency_summary(spark, d):
+    e = table(spark, d, "events", "event_type", "value")
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(metrics.floor_index(0.5, "value"), 6).alias("p50"), F.round(metrics.floor_index(0.95, "value"), 6).alias("p95"))
+
+
+@query("run_comparison", f"WITH {_STRATEGIES} SELECT strategy, recall, mrr, evidence FROM s")
+def run_comparison(spark, d):
+    long = strategies(spark, d).select("strategy", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in selection.MAXIMISE])).alias("x")).select("strategy", "x.metric", "x.value")
+    return gov.comparison(long, "strategy", "metric", "value", list(selection.MAXIMISE))
+
+
+@query("retriever_winners", "WITH s AS (SELECT lang, source AS strategy, CAST(count(*) AS DOUBLE) AS recall, CAST(max(n_chars) AS DOUBLE) AS tokens FROM documents GROUP BY ALL) SELECT lang, strategy FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY recall DESC, tokens, strategy) = 1")
+def retriever_winners(spark, d):
+    s = table(spark, d, "documents", "lang", "source", "n_chars").groupBy("lang", F.col("source").alias("strategy")).agg(F.count("*").cast("double").alias("recall"), F.max("n_chars").cast("double").alias("tokens"))
+    return selection.ranked(s, ["lang"], up=("recall",), down=("tokens",)).where("place = 1").select("lang", "strategy")
+
+
+@query("article_projection", f"{W}, p AS (SELECT document_id, CASE type WHEN 'article' THEN node_id ELSE parent_id END AS article_id, string_agg('[[' || node_id || ']] ' || trim(text), chr(10) ORDER BY ordinal) AS text FROM nodes WHERE type <> 'document' AND trim(text) <> '' GROUP BY ALL) SELECT document_id, article_id, sha256(text) AS content_hash, len(regexp_extract_all(text, '\\S+')) <= 300 AS within_limit FROM p")
+def article_projection(spark, d):
+    n = nodes(spark, d)
+    return gov.projection(n, tree.nearest_of_type(n, "article", 4).withColumnRenamed("found", "article_id"), 300).drop("text")
+
+
+@query("reference_edges", f"WITH {_MARKED} SELECT doc_id AS document_id, turn AS node_id, '' || turn AS article FROM marked WHERE turn % 5 = 1")
+def reference_edges(spark, d):
+    texts = marked(spark, d).select(F.col("doc_id").alias("document_id"), F.col("turn").alias("node_id"), "text")
+    return gov.cited_articles(texts, routing.ARTICLE)
+
+
+@query("extraction_reconcile", "SELECT doc_id, 'MISSING' AS code FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'EXTRA' FROM labels WHERE doc_id % 2 = 1")
+def extraction_reconcile(spark, d):
+    return gov.reconcile(table(spark, d, "documents", "doc_id").where("doc_id % 2 = 0"), table(spark, d, "labels", "doc_id"), "doc_id")
+
+
+@query("extraction_cost", "SELECT role AS model, count(*) AS calls, round((sum(length(text)) * CASE role WHEN 'user' THEN 0.2 ELSE 0.25 END + sum(turn) * CASE role WHEN 'user' THEN 1.2 ELSE 1.5 END) / 1e6, 6) AS usd FROM conversations WHERE role IN ('user', 'assistant') GROUP BY role")
+def extraction_cost(spark, d):
+    calls = table(spark, d, "conversations", "role", "turn", "text").where("role in ('user', 'assistant')").select(F.col("role").alias("model"), F.char_length("text").alias("tokens_in"), F.col("turn").alias("tokens_out"))
+    return gov.cost(calls, {"user": (0.20, 1.20), "assistant": (0.25, 1.50)})
+
+
+@query("citation_links", "SELECT conv_id, turn, CASE WHEN turn = conv_id % 3 THEN 'A' || turn ELSE 'A' || turn || ',B' || conv_id % 3 END AS links, CASE WHEN turn = conv_id % 3 THEN '' ELSE 'B' || conv_id % 3 END AS disallowed FROM (SELECT conv_id, turn FROM conversations)")
+def citation_links(spark, d):
+    t = table(spark, d, "conversations", "conv_id", "turn")
+    second = F.when(F.col("turn") == F.col("conv_id") % 3, F.concat(F.lit("A"), "turn")).otherwise(F.concat(F.lit("B"), F.col("conv_id") % 3))
+    found = gov.citation_links(F.concat(F.lit("see canonical://A"), "turn", F.lit(" and canonical://"), second, F.lit(".")))
+    return t.select("conv_id", "turn", F.array_join(found, ",").alias("links"), F.array_join(gov.disallowed(found, F.array(F.concat(F.lit("A"), "turn"))), ",").alias("disallowed"))
+
+
+@query("document_identity", f"{W}, m AS (SELECT document_id, first(regexp_extract(line, '[A-Z][a-z]+ [a-z]+') ORDER BY key) AS found FROM lines WHERE key <= 80 AND regexp_matches(line, '[A-Z][a-z]+ [a-z]+') GROUP BY 1) SELECT 'D' || doc_id AS document_id, coalesce(found, '') AS found FROM documents LEFT JOIN m ON document_id = 'D' || doc_id")
+def document_identity(spark, d):
+    return gov.identity(lines_of(spark, d), "[A-Z][a-z]+ [a-z]+").withColumn("found", F.coalesce("found", F.lit("")))
+
+
+@query("dataset_issues", "WITH q AS (SELECT doc_id AS query_id, text AS query FROM documents), n AS (SELECT query_id, trim(regexp_replace(replace(lower(query), 'ß', 'ss'), '\\s+', ' ', 'g')) AS n FROM q) SELECT query_id, 'TOO_SHORT' AS code FROM q WHERE length(trim(query)) < 30 UNION ALL SELECT query_id, 'DUPLICATE' FROM n WHERE n IN (SELECT n FROM n GROUP BY n HAVING count(*) > 1)")
+def dataset_issues(spark, d):
+    return gov.dataset_issues(table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), 30)
+
+
+@query("last_wins_union", "SELECT source, max(doc_id) AS doc_id FROM documents GROUP BY source")
+def last_wins_union(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "source")
+    return gov.last_wins(docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1")), "source", "doc_id").select("source", "doc_id")
+
+
+@query("review_freeze", "SELECT l.quality AS batch, count(*) AS n, count(*) FILTER (toxic = 0) AS approved, count(*) = count(*) FILTER (toxic = 0) AS frozen FROM labels l GROUP BY 1")
+def review_freeze(spark, d):
+    r = table(spark, d, "labels").select(F.col("quality").alias("batch"), F.when(F.col("toxic") == 0, " Approved ").otherwise("open").alias("status"))
+    return gov.frozen(r, "batch", "status")
+
+
+@query("review_context", "SELECT conv_id, turn, sha256(string_agg(text, ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS context_sha256 FROM conversations")
+def review_context(spark, d):
+    return gov.context(table(spark, d, "conversations", "conv_id", "turn", "text"), "conv_id", "turn", "text").select("conv_id", "turn", F.sha2("context", 256).alias("context_sha256"))
+
+
+@query("lock_issues", "SELECT 'D' || doc_id AS name, CASE WHEN doc_id % 50 = 0 THEN 'GONE' ELSE 'CHANGED' END AS code FROM documents WHERE doc_id % 50 < 2")
+def lock_issues(spark, d):
+    lock = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.concat(F.lit("D"), "doc_id").alias("name"), X.content_hash(F.col("text")).alias("hash"))
+    now = lock.where("doc_id % 50 <> 0").withColumn("hash", F.when(F.col("doc_id") % 50 == 1, F.lit("x")).otherwise(F.col("hash")))
+    return gov.lock_issues(lock, now)
+
+
+@query("review_metrics", "SELECT lang, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS precision, round(avg(CAST(toxic AS DOUBLE)), 6) AS missing FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def review_metrics(spark, d):
+    r = table(spark, d, "labels").join(table(spark, d, "documents", "doc_id", "lang"), "doc_id")
+    return gov.review_metrics(r.select("lang", (F.col("quality") == 1).alias("correct"), (F.col("toxic") == 1).alias("missed")), "lang")
+
+
+@query("provenance_coverage", "SELECT conv_id AS document_id, round(avg(CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM conversations GROUP BY 1")
+def provenance_coverage(spark, d):
+    t = table(spark, d, "conversations", "conv_id", "turn", "role")
+    return validate.provenance_coverage(t.select(F.col("conv_id").alias("document_id"), F.when(F.col("role") == "user", F.col("turn")).alias("page")))
+
+
+@query("truncated_pages", "SELECT document_id, page, block FROM (SELECT conv_id AS document_id, turn AS page, 0 AS block, text, lead(turn) OVER w AS np, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE np > page AND nr <> 'user' AND NOT regexp_matches(trim(text), '[.;:!?)\\]\"”]$')")
+def truncated_pages(spark, d):
+    b = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), F.lit(0).alias("block"), "text", (F.col("role") == "user").alias("marked"))
+    return validate.truncated_pages(b)
+
+
+@query("template_queries", "WITH n AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, 'Which ' || lang || ' text is number ' || doc_id || ' of ' || source || '?' AS query FROM n WHERE i = CAST(round_even((n - 1) / 2.0, 0) AS BIGINT) OR i = 0 OR i = n - 1")
+def template_queries(spark, d):
+    rows = selection.spread(table(spark, d, "documents", "doc_id", "source", "lang"), "source", "doc_id", 3)
+    return rows.select("source", F.format_string("Which %s text is number %d of %s?", "lang", "doc_id", "source").alias("query"))
+
+
+@query("quota_sample", "WITH a AS (SELECT doc_id, 0 AS quota FROM documents WHERE lang = 'de' ORDER BY n_chars, doc_id LIMIT 5), b AS (SELECT doc_id, 1 FROM documents WHERE n_chars > 500 AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY n_chars, doc_id LIMIT 5) SELECT * FROM a UNION ALL SELECT * FROM b")
+def quota_sample(spark, d):
+    return selection.quota_sample(table(spark, d, "documents", "doc_id", "lang", "n_chars"), [("lang = 'de'", 5), ("n_chars > 500", 5)], "n_chars", "doc_id").select("doc_id", "quota")
+
+
+@query("structural_gold", f"{W}, h AS (SELECT document_id, node_id, type, parent_id FROM nodes WHERE type <> 'document'), g AS (SELECT document_id, node_id, parent_id FROM nodes WHERE type = 'clause' AND key = 1) SELECT h.document_id, h.node_id, g.node_id IS NOT NULL AS exact, g.node_id IS NOT NULL OR p.parent_id IS NOT NULL AS structural FROM h LEFT JOIN g ON g.node_id = h.node_id LEFT JOIN g p ON p.parent_id = h.node_id")
+def structural_gold(spark, d):
+    n = nodes(spark, d)
+    q = lambda df: df.select(F.lit(1).alias("query_id"), "document_id", "node_id")
+    return evidence.structural_gold(q(n.where("type <> 'document'")), q(n.where("type = 'clause' and key = 1")), n).drop("query_id")
+
+
+@query("semantic_edges", "SELECT doc_id AS row, CASE WHEN doc_id % 5 = 0 THEN 'UNKNOWN_RELATION' WHEN doc_id % 5 = 1 THEN 'EVIDENCE_NOT_FOUND' ELSE 'SELF_LOOP' END AS reason FROM documents WHERE doc_id % 5 < 3")
+def semantic_edges(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    k = F.col("doc_id") % 5
+    me = F.concat(F.lit("D"), "doc_id")
+    rows = docs.select(F.col("doc_id").alias("row"), me.alias("source"), F.when(k == 2, me).otherwise(F.lit("D0")).alias("target"), F.when(k == 0, "LIKES").otherwise("CITES").alias("relation"), F.when(k == 1, F.lit("\u0001 nowhere")).otherwise(F.substring("text", 1, 5)).alias("evidence"), me.alias("node_id"))
+    texts = docs.select(me.alias("node_id"), "text")
+    return graph.semantic(rows, texts, texts.select("node_id"), ["CITES"])[1]
