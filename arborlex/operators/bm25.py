@@ -18,10 +18,13 @@ K1, B = 1.5, 0.75
 DIGITS = 9
 
 
-def term_table(passages: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf, length)."""
+def term_table(passages: DataFrame, id_col: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length); only: the terms (term) that matter. Others are dropped before anything is shuffled if Spark
+    finds these small enough to broadcast, and at the join if not."""
     words = passages.select(F.col(id_col).alias("id"), X.tokens(F.col(text)).alias("words"))
     rows = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -39,12 +42,11 @@ def idf(terms: DataFrame, stats: DataFrame) -> DataFrame:
 
 def search(passages: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "passage_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """(query_id, rank, id, score): order by score, then id; every query gets top_k rows where the corpus has them."""
-    terms = term_table(passages, id_col, text)
     stats = corpus_stats(passages, id_col, text)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = terms.join(asked, "term")  # before the statistics, so that only terms of queries are weighed
-    df = terms.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = idf(df, stats)
+    terms = term_table(passages, id_col, text, asked.select("term").distinct())
+    hits = terms.join(asked, "term")
+    weights = idf(terms, stats)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scores = hits.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))

@@ -1,8 +1,8 @@
 """Exact dense retrieval: cosine over unit vectors, whole corpus or guided within groups.
 
-Queries are gathered into blocks of BLOCK, so each vector row meets a block in one expression and the intermediate
-is vectors times blocks, not vectors times queries; per-query limits are applied by a window with a group limit,
-which Spark pushes below the shuffle.
+Every vector meets every query, which is what an exact scan is: queries are the stated, small side, and Spark
+broadcasts them below its threshold or pairs partitions beyond it. Per-query limits are windows with a group limit,
+which Spark applies before the shuffle, so at most top_k rows per query leave a task.
 """
 
 from __future__ import annotations

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from arborlex.functions import text as X
 
 
+#: Frontiers of a traversal up to this bound are broadcast.
+BROADCAST_NODES = 10_000
+
+
 def edge_id(source, relation, target):
     return F.concat(F.lit("E_"), F.substring(F.sha2(F.concat_ws("\0", source, relation, target), 256), 1, 16))
 
@@ -66,14 +70,15 @@ def subgraph(edges: DataFrame, start: str, depth: int = 1, relations: list[str]
     use = edges.where(F.col("relation").isin(relations)) if relations else edges
     ways = use.select("edge_id", F.col("source").alias("node_id"), F.col("target").alias("far")).unionByName(use.select("edge_id", F.col("target").alias("node_id"), F.col("source").alias("far")))
     spark = edges.sparkSession
+    # the frontier holds max_nodes rows at most: broadcast it where that bound is small, else leave the choice to Spark
+    small = F.broadcast if max_nodes <= BROADCAST_NODES else lambda df: df
     seen = spark.createDataFrame([(start, 0, 0)], "node_id string, level int, place long")
     met = None
     for level in range(depth):
-        # the frontier holds max_nodes rows at most
         frontier = seen.where(F.col("level") == level)
-        steps = ways.join(F.broadcast(frontier.select("node_id", "place")), "node_id")
+        steps = ways.join(small(frontier.select("node_id", "place")), "node_id")
         met = steps.select("edge_id") if met is None else met.unionByName(steps.select("edge_id"))
-        new = steps.join(F.broadcast(seen.select(F.col("node_id").alias("far"))), "far", "left_anti")
+        new = steps.join(small(seen.select(F.col("node_id").alias("far"))), "far", "left_anti")
         first = new.groupBy("far").agg(F.min(F.struct("place", "edge_id")).alias("at"))
         numbered = first.select(F.col("far").alias("node_id"), F.lit(level + 1).alias("level"), "at").orderBy("at", "node_id").limit(max_nodes)
         w = Window.orderBy("at", "node_id")
