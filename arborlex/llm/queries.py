@@ -104,4 +104,34 @@ QUERIES = {
     "op10_licences": op10_licences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: SQL for the queries that it can express: 3, 7 and 8. The others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_frequency": f"""
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+    k AS (SELECT *, trim(regexp_replace({_FOLD.format('line')}, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal, len(regexp_extract_all(line, '{_WORD}')) AS n FROM l WHERE regexp_matches(line, '{_WORD}')),
+    f AS (SELECT source, normal FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) > {quality.MAX_DOCS}),
+    r AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(n) FILTER (f.normal IS NOT NULL), 0) AS removed FROM k LEFT JOIN f ON f.normal = k.normal AND f.source IS NOT DISTINCT FROM k.source GROUP BY doc_id),
+    i AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+    g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i : i + 4]) AS n FROM i),
+    c AS (SELECT doc_id, count(DISTINCT i + j) AS covered FROM g, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY doc_id),
+    s AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+          CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+    SELECT *, NOT base_failed AND n_words - removed_words >= {quality.MIN_WORDS} AND n_words - removed_words >= n_words * {quality.MIN_SHARE} AS kept FROM b""",
+    "op7_minhash": f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < {OP7_WIDTH} THEN w ELSE w[i : i + {OP7_WIDTH - 1}] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {OP7_WIDTH - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= {OP7_PERCENT} * (x.n + y.n - met)),
+    reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
+    SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op8_vafile": f"""
+    WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS x FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= {OP8_K}""",
+}
