@@ -60,7 +60,7 @@ _held: set[str] = set()
 
 
 def tidy(keep: str = "") -> None:
-    """At the start of a task: forgets what other operators keep in this worker and returns freed memory."""
+    """At the start of a task or group: forgets what other operators keep in this worker and returns freed memory."""
     others = _held - {keep}
     for name in others:
         CACHES[name]()
@@ -68,6 +68,7 @@ def tidy(keep: str = "") -> None:
     _held.difference_update(others)
     if keep:
         _held.add(keep)
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -98,6 +98,7 @@ def score(documents: DataFrame, target: str, text: str = "text", min_count: int
     said = packs.select("shard", "batch").mapInArrow(count, "bucket long, shard long, h binary, t binary, n binary")
 
     def add_up(table: pa.Table) -> pa.Table:
+        tidy()
         h, t, n = ([_expand(x.as_py(), kind) for x in table.column(c)] for c, kind in (("h", U64), ("t", np.uint32), ("n", np.uint32)))
         ends = np.cumsum([len(x) for x in h])
         h, t, n = np.concatenate(h), np.concatenate(t).astype(np.int64), np.concatenate(n).astype(np.int64)

@@ -247,6 +247,7 @@ def _leftover(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
     dealt = small.unionByName(large).join(sigs, "rep").join(sets, "rep")
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         rep, comp, side, cluster = (table.column(c).to_numpy() for c in ("rep", "component", "side", "cluster"))
         sig = _sig_rows(table.column("sig"))
         buf, offsets = column_bytes(table.column("hashes"))

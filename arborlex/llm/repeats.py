@@ -181,6 +181,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
                 )
 
     def repeated(table: pa.Table) -> pa.Table:
+        tidy()
         buf, offsets = column_bytes(table.column("hashes"))
         h, many = buf.view(U64), column_bytes(table.column("many"))[0].view(bool)
         order = np.argsort(h)
@@ -225,6 +226,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.full(len(cut), shard)), *arrays], names=["bucket", "shard", *columns])
 
     def judge(table: pa.Table) -> pa.Table:
+        tidy()
         raw = {c: column_bytes(table.column(c)) for c in columns}
         h, key, doc, pos = (raw[c][0].view(k) for c, k in (("h", U64), ("key", U64), ("doc", np.int64), ("pos", np.int64)))
         n = raw["n"][0].astype(np.int64)
