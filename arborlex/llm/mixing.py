@@ -93,7 +93,7 @@ def mix(
     # rank / (mean odds + rank) is near uniform, so that the ranges are near equal; rows without a rank are spread
     mean = F.greatest(F.least(ratio - F.floor(ratio), F.lit(1 - 1e-9)), F.lit(1e-9))
     spread = F.col("rank") * mean / (1 - mean)
-    ranked = ranked.withColumn("cell", F.coalesce(F.least(F.floor(spread / (1 + spread) * LEVELS), F.lit(LEVELS - 1)), F.pmod(F.col("tie"), F.lit(LEVELS))).cast("int"))
+    ranked = ranked.withColumn("cell", F.when(F.col("rank").isNull(), F.pmod(F.col("tie"), F.lit(LEVELS))).otherwise(F.least(F.floor(spread / (1 + spread) * LEVELS), F.lit(LEVELS - 1))).cast("int"))
     fixed = (F.col("whole") + F.col("sure").cast("int")).cast("int")
     state = materialise(ranked.select("_id", "tie", "k", "one", "size", "source_size", "target", "rank", "cell", fixed.alias("copies"), F.lit(False).alias("done")))
     for old in (rows, sources):
