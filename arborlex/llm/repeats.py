@@ -8,8 +8,9 @@ start. Overlaps count, and strings are judged on the input.
    equal windows have equal anchors at equal offsets. Consecutive windows with one anchor form a segment. Anchors
    met once in the whole corpus are of no further interest; each shard says an anchor once, however often it has it.
 3. Segments of repeated anchors go to the bucket of their anchor, once per shard and text. There, equal segments
-   collapse to the earliest, and where an anchor has several texts, their shards' Burrows-Wheeler transforms are
-   merged; each repeated interval keeps its earliest window.
+   collapse to the earliest. Where an anchor has several texts, they are cut in two and meet again by the bytes next to
+   the anchor that all windows of a part hold; parts that meet another are indexed: their shards' Burrows-Wheeler
+   transforms are merged, and each repeated interval keeps its earliest window.
 4. Each shard hears which windows of its segments to remove, and cuts them out.
 
 A text that a third of all documents share is thus one message per shard. Texts are UTF-8 bytes; a null is an
@@ -122,6 +123,25 @@ def _gather(buf: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return buf[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - lengths), lengths)]
 
 
+def _halves(texts: np.ndarray, starts: np.ndarray, n: np.ndarray, at: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments cut in two: windows that hold the half-window of bytes before the anchor, and those that hold as many after
+    it; each window is one of these. (segment, first window, windows, hash of these bytes) of the parts that have windows."""
+    half, gram = window // 2, length - window + 1
+    left = np.clip(at - half + 1, 0, n)
+    seg = np.concatenate([np.flatnonzero(left > 0), np.flatnonzero(left < n)])
+    after = np.arange(len(seg)) >= int((left > 0).sum())
+    first = np.where(after, left[seg], 0)
+    count = np.where(after, n[seg] - left[seg], left[seg])
+    from_ = starts[seg] + at[seg] + np.where(after, gram, -half)
+    key = np.zeros(len(seg), U64)
+    for k in range(0, half, 8):
+        word = np.zeros(len(seg), U64)
+        for i in range(k, k + 8):
+            word = word << U64(8) | texts[from_ + i]
+        key = mix64(key + mix64(word + U64(k)))
+    return seg, first, count, mix64(key + after)
+
+
 def _step(length: int) -> int:
     return next(k for k in (4, 2, 1) if length % k == 0)
 
@@ -206,7 +226,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
         runs.only(np.sort(np.frombuffer(b"".join(dups.as_py() or ()), U64)), length)
         return runs
 
-    columns = ["h", "key", "doc", "pos", "n", "texts"]
+    columns = ["h", "key", "doc", "pos", "n", "at", "texts"]
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -218,7 +238,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
                 f = r.first
                 b, cut, ends = bucket_cuts(r.h[f], buckets)
                 doc = np.searchsorted(r.offsets, r.p[f], "right") - 1
-                made = {"h": r.h[f], "key": r.key, "doc": r.ids[doc].astype(np.int64), "pos": r.p[f] - r.offsets[doc], "n": r.n[f].astype(np.uint8)}
+                made = {"h": r.h[f], "key": r.key, "doc": r.ids[doc].astype(np.int64), "pos": r.p[f] - r.offsets[doc], "n": r.n[f].astype(np.uint8), "at": (r.q[f] - r.p[f]).astype(np.uint8)}
                 rows = []
                 for i, j in zip(cut, ends, strict=True):
                     rows.append([made[c][i:j].tobytes() for c in columns[:-1]] + [_gather(r.buf, r.p[f[i:j]], r.n[f[i:j]] + length - 1).tobytes()])
@@ -229,7 +249,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
         tidy()
         raw = {c: column_bytes(table.column(c)) for c in columns}
         h, key, doc, pos = (raw[c][0].view(k) for c, k in (("h", U64), ("key", U64), ("doc", np.int64), ("pos", np.int64)))
-        n = raw["n"][0].astype(np.int64)
+        n, at_ = raw["n"][0].astype(np.int64), raw["at"][0].astype(np.int64)
         tie = np.repeat(table.column("shard").to_numpy(), np.diff(raw["h"][1]) // 8)
         order = np.lexsort((tie, pos, doc, key, h))
         new = np.ones(len(order), bool)
@@ -240,17 +260,26 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
         own = order[new]
         masks[own] = 0
         group = (np.cumsum(anchor) - 1)[new]
-        several = own[np.bincount(group)[group] > 1]  # in order of their anchors
+        several = own[np.bincount(group)[group] > 1]
         lengths = n + length - 1
         starts = np.cumsum(lengths) - lengths
-        # equal windows have equal anchors: an index need not reach over anchors
-        size = np.cumsum(lengths[several])
-        last = np.flatnonzero(np.append(h[several][1:] != h[several][:-1], True)) if len(several) else np.zeros(0, np.int64)
-        cut, i = last[np.append(size[last][1:] // _INDEX != size[last][:-1] // _INDEX, True)] + 1 if len(last) else last, 0
+        seg, first, count, key2 = _halves(raw["texts"][0], starts[several], n[several], at_[several], length, window)
+        seg = several[seg]
+        # equal windows have equal anchors and equal halves: an index need not reach over these, nor hold one that stands alone
+        key2 = mix64(h[seg] + key2)
+        order = np.argsort(key2, kind="stable")
+        edge = np.flatnonzero(np.append(True, key2[order][1:] != key2[order][:-1])) if len(order) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(edge, len(order)))
+        keep = np.repeat(sizes > 1, sizes)
+        order, ends = order[keep], np.cumsum(sizes[sizes > 1])
+        seg, first, count = seg[order], first[order], count[order]
+        size = np.cumsum(count + length)
+        cut, i = ends[np.append(size[ends - 1][1:] // _INDEX != size[ends - 1][:-1] // _INDEX, True)] if len(ends) else ends, 0
         for j in cut:
-            part = several[i:j]
-            texts = _gather(raw["texts"][0], starts[part], lengths[part])
-            masks[part] = _windows_to_remove(texts, lengths[part], n[part], doc[part], pos[part], tie[part], length)
+            part, long = seg[i:j], count[i:j] + length - 1
+            texts = _gather(raw["texts"][0], starts[part] + first[i:j], long)
+            found = _windows_to_remove(texts, long, count[i:j], doc[part], pos[part] + first[i:j], tie[part], length)
+            np.bitwise_or.at(masks, part, found << first[i:j].astype(U64))
             i = j
         cuts = raw["h"][1] // 8
         return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "masks": pa.array([masks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
