@@ -34,7 +34,7 @@ from .core import U64, _BYTES, _powers, column_bytes, drop, materialise, mix64,
 from .shards import bucket_cuts, pack, unpack
 
 #: Text bytes in a shard, and for each bucket of anchors.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 1 << 20
 #: Symbols in a shard of an index, and in an index, unless one anchor alone has more; bytes hashed together.
 _SORT, _INDEX, _PIECE = 1 << 16, 1 << 18, 1 << 18
@@ -288,35 +288,46 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     masks = told.groupBy("bucket").applyInArrow(judge, "shard long, bucket long, masks binary").groupBy("shard").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks"))
     schema = T.StructType([*documents.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
 
+    def cut_shard(packed: pa.Scalar, dup: pa.Scalar, answer: pa.Scalar) -> pa.RecordBatch | None:
+        r = shard_runs(packed, dup)
+        change = np.zeros(len(r.buf) + 1, np.int32)
+        if len(r.p):
+            mask = np.frombuffer(b"".join(x["masks"] for x in sorted(answer.as_py(), key=lambda x: x["bucket"])), U64)
+            all_ = np.ones(len(r.p), bool)
+            all_[r.first] = False
+            np.add.at(change, r.p[all_], 1)
+            np.add.at(change, r.p[all_] + r.n[all_] + length - 1, -1)
+            for bit in range(64):
+                p = r.p[r.first[(mask >> U64(bit)) & U64(1) == 1]] + bit
+                np.add.at(change, p, 1)
+                np.add.at(change, p + length, -1)
+        np.cumsum(change, out=change)
+        gone = change[:-1] > 0
+        begin = gone.copy()
+        begin[1:] &= ~gone[:-1]
+        edge = r.offsets[:-1][r.offsets[:-1] < len(gone)]
+        begin[edge] = gone[edge]
+
+        def count(x: np.ndarray) -> np.ndarray:
+            np.cumsum(x, dtype=np.int32, out=change[1:])
+            change[0] = 0
+            return np.diff(change[r.offsets]).astype(np.int64)
+
+        removed, spans = count(gone), count(begin)
+        left, lengths = r.buf[~gone].tobytes(), np.diff(r.offsets)
+        ends = np.cumsum(lengths - removed)
+        kept = [left[a:b] for a, b in zip(ends - lengths + removed, ends, strict=True)]
+        if r.table.num_rows:
+            made = [pa.array(kept, pa.binary()), *(pa.array(x) for x in (lengths, removed, spans))]
+            return pa.RecordBatch.from_arrays([*r.table.to_batches()[0].columns, *made], names=schema.names)
+        return None
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
         for batch in batches:
-            for packed, dup, answer in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                r = shard_runs(packed, dup)
-                change = np.zeros(len(r.buf) + 1, np.int32)
-                if len(r.p):
-                    mask = np.frombuffer(b"".join(x["masks"] for x in sorted(answer.as_py(), key=lambda x: x["bucket"])), U64)
-                    all_ = np.ones(len(r.p), bool)
-                    all_[r.first] = False
-                    np.add.at(change, r.p[all_], 1)
-                    np.add.at(change, r.p[all_] + r.n[all_] + length - 1, -1)
-                    for bit in range(64):
-                        p = r.p[r.first[(mask >> U64(bit)) & U64(1) == 1]] + bit
-                        np.add.at(change, p, 1)
-                        np.add.at(change, p + length, -1)
-                gone = np.cumsum(change[:-1], dtype=np.int32) > 0
-                begin = gone.copy()
-                begin[1:] &= ~gone[:-1]
-                edge = r.offsets[:-1][r.offsets[:-1] < len(gone)]
-                begin[edge] = gone[edge]
-                count = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[r.offsets])
-                removed, spans = count(gone), count(begin)
-                left, lengths = r.buf[~gone].tobytes(), np.diff(r.offsets)
-                ends = np.cumsum(lengths - removed)
-                kept = [left[a:b] for a, b in zip(ends - lengths + removed, ends, strict=True)]
-                made = [pa.array(kept, pa.binary()), *(pa.array(x.astype(np.int64)) for x in (lengths, removed, spans))]
-                whole = r.table.to_batches()[0] if r.table.num_rows else None
-                if whole is not None:
-                    yield pa.RecordBatch.from_arrays([*whole.columns, *made], names=schema.names)
+            for row in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                tidy()
+                if (out := cut_shard(*row)) is not None:
+                    yield out
+                del out
 
     return known.join(masks, "shard", "left").select("batch", "dups", "masks").mapInArrow(cut, schema)
