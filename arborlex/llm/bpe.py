@@ -18,6 +18,7 @@ table gives an empty one.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -67,6 +68,8 @@ class Transducer:
     def reset(self) -> None:
         self.start = _State(-1, b"", ((0, ()),), ())
         self.states: dict[tuple, _State] = {}
+        if self.max_states >= 10_000:
+            gc.collect()  # states point to each other: else the old ones stay beside the new ones for a while
         if len(self.joins) > 2 * self.max_states:
             self.joins.clear()
 
@@ -264,11 +267,11 @@ def _with_columns(df: DataFrame, *names: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.BinaryType() if n.endswith("ids") else T.StringType()) for n in names)])
 
 
-def _mapped(df: DataFrame, text: str, ranks: bytes, pattern: str, names: tuple[str, ...]) -> DataFrame:
+def _mapped(df: DataFrame, text: str, ranks: bytes, pattern: str, names: tuple[str, ...], keep_text: bool = True) -> DataFrame:
     """names: the new columns for the packed ids and, if two, the text decoded from them."""
     df = df.drop(*set(names) - {text})
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary file: its size is fixed
-    schema = _with_columns(df, *names)
+    schema = _with_columns(df if keep_text else df.drop(text), *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy("bpe")
@@ -279,7 +282,8 @@ def _mapped(df: DataFrame, text: str, ranks: bytes, pattern: str, names: tuple[s
                 made = [pa.array(ids, pa.binary())]
                 if len(names) > 1:
                     made.append(pa.array([decoder.push(np.frombuffer(x, "<u4").tolist()) + decoder.flush() for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+                own = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if keep_text or n != text]
+                yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -289,9 +293,9 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", to: st
     return _mapped(df, text, ranks, pattern, (to,))
 
 
-def round_trip(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", to: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+def round_trip(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", to: tuple[str, str] = ("ids", "decoded"), keep_text: bool = True) -> DataFrame:
     """Adds the packed token ids and the text that the decoder makes of them, in one pass over the rows."""
-    return _mapped(df, text, ranks, pattern, to)
+    return _mapped(df, text, ranks, pattern, to, keep_text)
 
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:

@@ -32,7 +32,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS_PATH) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.round_trip(docs, Path(ranks_path).read_bytes(), public_tokenizers.PATTERN)
+    out = bpe.round_trip(docs, Path(ranks_path).read_bytes(), public_tokenizers.PATTERN, keep_text=False)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

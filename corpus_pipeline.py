@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (packed 32-bit), and digests of the ids and of the text decoded from them."""
-    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), Path(queries.RANKS_PATH).read_bytes(), public_tokenizers.PATTERN)
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), Path(queries.RANKS_PATH).read_bytes(), public_tokenizers.PATTERN, keep_text=False)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return out.select("doc_id", "lang", "source", n_tokens, "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
