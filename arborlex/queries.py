@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,26 +131,31 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("V"), "vec_id").alias("id"), F.col("embedding").alias("vector"), grp.alias("group"))
 
 
-def vector_queries(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+#: The vectors that the searches over all queries ask, and the SQL of those that ask the first 50 only.
+STEP = 20
+FIRST, EVERY = "vec_id < 50", f"vec_id % {STEP} = 0"
 
 
-def scouts(spark, d):
+def vector_queries(spark, d, asked=FIRST):
+    return table(spark, d, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def scouts(spark, d, asked=FIRST):
     """(articles, fine hits, guided leaves) of each vector query; an article's vector is its first one."""
-    v, q = vectors(spark, d), vector_queries(spark, d)
+    v, q = vectors(spark, d), vector_queries(spark, d, asked)
     art = v.groupBy("group").agg(F.min(F.struct("vec_id", "vector")).getField("vector").alias("vector")).select(F.col("group").alias("id"), "vector")
     a = dense.global_search(art, q, 10)
     return a, dense.global_search(v, q, 50), dense.guided_search(v, q, a.select("query_id", F.col("id").alias("group"), "rank"), 3)
 
 
 @query("dense_top10", f"WITH {_VEC} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM g50 WHERE rank <= 10")
-def dense_top10(spark, d):
-    return dense.global_search(vectors(spark, d), vector_queries(spark, d), 10)
+def dense_top10(spark, d, asked=FIRST):
+    return dense.global_search(vectors(spark, d), vector_queries(spark, d, asked), 10)
 
 
 @query("guided_top3_per_group", f'WITH {_VEC} SELECT query_id, grp AS "group", CAST(group_rank AS INTEGER) AS group_rank, CAST(local_rank AS INTEGER) AS local_rank, id, score FROM l')
-def guided_top3_per_group(spark, d):
-    return scouts(spark, d)[2]
+def guided_top3_per_group(spark, d, asked=FIRST):
+    return scouts(spark, d, asked)[2]
 
 
 @query("vector_validation", "SELECT count(*) AS vectors, CAST(min(len(embedding)) AS INTEGER) AS least_dim, CAST(max(len(embedding)) AS INTEGER) AS most_dim, round(max(abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1)), 5) AS worst_norm, CAST(0 AS BIGINT) AS issues FROM embeddings")
@@ -170,15 +176,15 @@ pool AS (
 """
 
 
-def fusion_inputs(spark, d):
-    a, g, leaves = scouts(spark, d)
+def fusion_inputs(spark, d, asked=FIRST):
+    a, g, leaves = scouts(spark, d, asked)
     fine = vectors(spark, d).select("id", F.col("id").alias("primary_id"), F.col("group").alias("article_id"))
     return a.select("query_id", "rank", F.col("id").alias("article_id")), g.select("query_id", "rank", "id"), leaves.withColumnRenamed("group", "article_id"), fine
 
 
 @query("rrf_pool", f"WITH {_VEC}, {_POOL} SELECT query_id, passage_id, source, article_id, score FROM pool")
-def rrf_pool(spark, d):
-    return fusion.candidates(*fusion_inputs(spark, d)).select("query_id", "passage_id", "source", "article_id", "score")
+def rrf_pool(spark, d, asked=FIRST):
+    return fusion.candidates(*fusion_inputs(spark, d, asked)).select("query_id", "passage_id", "source", "article_id", "score")
 
 
 @query(
@@ -191,8 +197,8 @@ def rrf_pool(spark, d):
     f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY late, o) AS INTEGER) AS rank FROM s WHERE e2 QUALIFY rank <= 10)
     SELECT query_id, rank, passage_id, source, score, count(*) OVER (PARTITION BY query_id) = 10 AS complete FROM f""",
 )
-def hybrid_top10(spark, d):
-    return fusion.hybrid(*fusion_inputs(spark, d)).drop("evidence_ids")
+def hybrid_top10(spark, d, asked=FIRST):
+    return fusion.hybrid(*fusion_inputs(spark, d, asked)).drop("evidence_ids")
 
 
 @query(
@@ -200,9 +206,9 @@ def hybrid_top10(spark, d):
     f"""WITH {_VEC}, h AS (SELECT query_id, rank, id, grp FROM g50 JOIN v USING (id) WHERE rank <= 10)
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank, id FROM h WHERE query_id % 2 = 0 OR CAST(substr(grp, 2) AS INTEGER) < 40""",
 )
-def scoped_hits(spark, d):
-    hits = dense.global_search(vectors(spark, d), vector_queries(spark, d), 10).join(vectors(spark, d).select("id", F.col("group").alias("document_id")), "id")
-    scope = vector_queries(spark, d).where("query_id % 2 = 1").select("query_id").join(vectors(spark, d).select(F.col("group").alias("document_id")).distinct().where("cast(substr(document_id, 2) as int) < 40"))
+def scoped_hits(spark, d, asked=FIRST, step=1):
+    hits = dense.global_search(vectors(spark, d), vector_queries(spark, d, asked), 10).join(vectors(spark, d).select("id", F.col("group").alias("document_id")), "id")
+    scope = vector_queries(spark, d, asked).where(f"query_id div {step} % 2 = 1").select("query_id").join(vectors(spark, d).select(F.col("group").alias("document_id")).distinct().where("cast(substr(document_id, 2) as int) < 40"))
     return fusion.scoped(hits, scope).select("query_id", "rank", "id")
 
 
@@ -529,9 +535,9 @@ def spread_sample(spark, d):
 
 
 @query("shadow_diff", f"WITH {_VEC}, h AS (SELECT query_id, rank, id, score FROM g50 WHERE rank <= 10) SELECT query_id, CAST(rank AS INTEGER) AS rank, CASE WHEN query_id % 10 = 0 AND rank = 10 THEN 'MISSING_RIGHT' ELSE 'OTHER_SCORE' END AS code FROM h WHERE (query_id % 10 = 0 AND rank = 10) OR (query_id % 10 = 1 AND rank = 1)")
-def shadow_diff(spark, d):
-    left = dense.global_search(vectors(spark, d), vector_queries(spark, d), 10)
-    q, r = F.col("query_id") % 10, F.col("rank")
+def shadow_diff(spark, d, asked=FIRST, step=1):
+    left = dense.global_search(vectors(spark, d), vector_queries(spark, d, asked), 10)
+    q, r = F.expr(f"query_id div {step} % 10"), F.col("rank")
     right = left.where(~((q == 0) & (r == 10))).withColumn("score", F.when((q == 1) & (r == 1), F.col("score") + 0.001).otherwise(F.col("score")))
     return selection.shadow_diff(left, right)
 
@@ -683,8 +689,8 @@ def corpus_navigation(spark, d):
 
 
 @query("guided_from_ranking", f'WITH {_VEC}, r AS (SELECT g50.query_id, g50.id, grp, CAST(row_number() OVER (PARTITION BY g50.query_id, grp ORDER BY g50.rank) AS INTEGER) AS local_rank FROM g50 JOIN v USING (id) SEMI JOIN a10 USING (query_id, grp) QUALIFY local_rank <= 3) SELECT query_id, grp AS "group", local_rank, id FROM r')
-def guided_from_ranking(spark, d):
-    a, g, _ = scouts(spark, d)
+def guided_from_ranking(spark, d, asked=FIRST):
+    a, g, _ = scouts(spark, d, asked)
     return gov.guided_from_ranking(g.join(vectors(spark, d).select("id", "group"), "id"), a.select("query_id", F.col("id").alias("group")))
 
 
@@ -821,3 +827,11 @@ def semantic_edges(spark, d):
     rows = docs.select(F.col("doc_id").alias("row"), me.alias("source"), F.when(k == 2, me).otherwise(F.lit("D0")).alias("target"), F.when(k == 0, "LIKES").otherwise("CITES").alias("relation"), F.when(k == 1, F.lit("\u0001 nowhere")).otherwise(F.substring("text", 1, 5)).alias("evidence"), me.alias("node_id"))
     texts = docs.select(me.alias("node_id"), "text")
     return graph.semantic(rows, texts, texts.select("node_id"), ["CITES"])[1]
+
+
+# ---- searches that ask every STEP-th vector ---------------------------------------------------------------------
+
+for _name in ("dense_top10", "guided_top3_per_group", "rrf_pool", "hybrid_top10", "guided_from_ranking"):
+    query(f"{_name}_every", ORACLE_SQL[_name].replace(FIRST, EVERY))(partial(QUERIES[_name], asked=EVERY))
+for _name in ("scoped_hits", "shadow_diff"):
+    query(f"{_name}_every", ORACLE_SQL[_name].replace(FIRST, EVERY).replace("query_id %", f"query_id // {STEP} %"))(partial(QUERIES[_name], asked=EVERY, step=STEP))

@@ -184,3 +184,26 @@ def test_files(spark, tmp_path):
     assert [(r["id"], r["n"]) for r in up] == [("x", 1), ("y", 5), ("z", 3)] and up[1]["tags"] == []
     base = files.write_release({"t": df}, str(tmp_path / "r"), "v1")
     assert files.read_release(spark, base, "t").count() == 2
+
+
+def test_global_search_blocks(spark, monkeypatch):
+    """Several blocks on both sides give what one gives; ties go to the smaller id; vectors without a score come last."""
+    rows = [(f"V{i}", [float(i % 7), 1.0]) for i in range(40)] + [("A", None), ("B", [1.0])]
+    v = spark.createDataFrame(rows, "id string, vector array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "query_id long, query array<double>")
+    want = {i: sorted(((-(x[0] + i), k) for k, x in rows[:40]))[:5] for i in range(9)}
+    for size in (4096, 4):
+        monkeypatch.setattr(dense, "BLOCK", size)
+        monkeypatch.setattr(dense, "QUERIES", size)
+        got = {}
+        for r in dense.global_search(v, q, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+        assert got == want
+    assert [(r["id"], r["score"]) for r in dense.global_search(v, q.where("query_id = 0"), 50).orderBy("rank").collect()][40:] == [("A", None), ("B", None)]
+
+
+def test_searches_ask_every_20th_vector(spark, sf):
+    import arborlex.queries as registered
+
+    got = registered.QUERIES["dense_top10_every"](spark, sf).groupBy("query_id").count().collect()
+    assert {r["query_id"] for r in got} == set(range(0, 500, 20)) and {r["count"] for r in got} == {10}
