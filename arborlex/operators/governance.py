@@ -54,7 +54,7 @@ def guided_from_ranking(ranking: DataFrame, scouted: DataFrame, per_group: int =
     return rows.where(F.col("local_rank") <= per_group).select("query_id", "group", "local_rank", "id")
 
 
-def oracle_recall(pool: DataFrame, gold: DataFrame, depth: int = 30, shown: int = 10) -> DataFrame:
+def oracle_recall(pool: DataFrame, gold: DataFrame, depth: int = 30, shown: int = 5) -> DataFrame:
     """One row: share of gold queries with gold within depth, and those of them that do not show it."""
     met = pool.join(gold.select("query_id", "id"), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("best"))
     all_ = gold.select("query_id").distinct().join(met, "query_id", "left")

@@ -98,8 +98,8 @@ top AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 """
 
 
-def bm25_hits(spark, d):
-    return bm25.search(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"), 10, "doc_id", "text", "item_id", "text")
+def bm25_hits(spark, d, top_k=10):
+    return bm25.search(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"), top_k, "doc_id", "text", "item_id", "text")
 
 
 @query("bm25_top10", f"WITH {_BM25} SELECT query_id, rank, id AS doc_id, round(score, 6) AS score FROM top")
@@ -700,6 +700,12 @@ def oracle_recall(spark, d):
     return gov.oracle_recall(bm25_hits(spark, d).withColumnRenamed("doc_id", "id"), gold, 8, 2)
 
 
+@query("oracle_recall_at_30", ORACLE_SQL["oracle_recall"].replace("QUALIFY rank <= 10", "QUALIFY rank <= 30").replace("best <= 8", "best <= 30").replace("best > 2", "best > 5"))
+def oracle_recall_at_30(spark, d):
+    gold = containing(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    return gov.oracle_recall(bm25_hits(spark, d, 30).withColumnRenamed("doc_id", "id"), gold, 30, 5)
+
+
 @query("latency_summary", "SELECT event_type, round(avg(value), 6) AS mean, round(list_sort(list(value))[CAST(least(floor(0.5 * count(*)) + 1, count(*)) AS INTEGER)], 6) AS p50, round(list_sort(list(value))[CAST(least(floor(0.95 * count(*)) + 1, count(*)) AS INTEGER)], 6) AS p95 FROM events GROUP BY 1")
 def latency_summary(spark, d):
     e = table(spark, d, "events", "event_type", "value")

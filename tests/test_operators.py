@@ -207,3 +207,14 @@ def test_searches_ask_every_20th_vector(spark, sf):
 
     got = registered.QUERIES["dense_top10_every"](spark, sf).groupBy("query_id").count().collect()
     assert {r["query_id"] for r in got} == set(range(0, 500, 20)) and {r["count"] for r in got} == {10}
+
+
+def test_oracle_recall_looks_30_deep(spark):
+    """Gold at rank 20 counts, gold at 6 to 30 is an ordering failure, gold at 5 is not; documents 1 to 40 rank in order."""
+    from arborlex.operators import governance
+
+    docs = spark.createDataFrame([(i, "word " + "filler " * i) for i in range(1, 41)], "doc_id int, text string")
+    asked = spark.createDataFrame([(i, "word") for i in range(4)], "query_id int, query string")
+    gold = spark.createDataFrame([(0, 5), (1, 6), (2, 20), (3, 31)], "query_id int, id int")
+    pool = bm25.search(docs, asked, 30, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    assert tuple(governance.oracle_recall(pool, gold).first()) == (4, 0.75, 2)
