@@ -9,6 +9,8 @@ from arborlex.functions import text as X
 
 SEVERITIES = ("INFO", "WARN", "ERROR", "CRITICAL")
 RETENTION = 0.995
+#: A leak shares more than this share of a query's distinct tokens, or a run of so many tokens.
+LEAK, RUN = 0.65, 9
 
 
 def registry_issues(documents: DataFrame, sources: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def review_diff(before: DataFrame, after: DataFrame, key: str, fixed: list[str])
     return j.where("in_a is not null and in_b is not null").select(key, F.explode(changed).alias("column")).unionByName(lost)
 
 
-def lexical_leaks(pairs: DataFrame, ratio: float = 0.65) -> DataFrame:
+def lexical_leaks(pairs: DataFrame, ratio: float = LEAK) -> DataFrame:
     """pairs: (query_id, query, source). Adds overlap and leak."""
     return pairs.withColumn("overlap", F.round(X.overlap_ratio(F.col("query"), F.col("source")), 6)).withColumn("leak", F.col("overlap") > ratio)
 
@@ -85,6 +87,29 @@ def longest_common_run(pairs: DataFrame, keys: list[str], left: str, right: str)
     return pairs.select(*keys).distinct().join(best, keys, "left").withColumn("run", F.coalesce("run", F.lit(0)))
 
 
+def overlap_candidates(queries: DataFrame, sources: DataFrame, ratio: float = LEAK) -> DataFrame:
+    """(item_id, doc_id): every pair whose overlap can be above ratio, of queries (item_id, query) and sources (doc_id, source).
+    Such a source lacks less than 1 - ratio of the query's tokens, so it has one of any that many: the rarest are asked."""
+    asked = queries.select("item_id", F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("token"))
+    words = sources.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("source")))).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token")
+    rare = asked.join(df, "token", "left").withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
+    rare = rare.where(F.col("at") <= F.floor(F.col("n") * (1 - ratio)) + 1).select("item_id", "token")
+    return words.join(rare, "token").select("item_id", "doc_id").distinct()
+
+
+def run_candidates(queries: DataFrame, sources: DataFrame, least: int = RUN) -> DataFrame:
+    """(item_id, doc_id): every pair with a common run of `least` tokens, of queries (item_id, query) and sources (doc_id,
+    source). Cut a source's tokens into pieces of half that length: such a run holds a whole piece, wherever it begins."""
+    piece = (least + 1) // 2
+    gram = lambda t, i: F.xxhash64(F.slice(t, i, piece))
+    starts = lambda t, step: F.when(F.size(t) >= piece, F.sequence(F.lit(1), F.size(t) - piece + 1, F.lit(step)))
+    pieces = lambda df, key, c, step: df.select(key, X.tokens(F.col(c)).alias("t")).select(key, F.explode(F.array_distinct(F.transform(starts(F.col("t"), step), lambda i: gram(F.col("t"), i)))).alias("gram"))
+    asked, held = pieces(queries, "item_id", "query", 1), pieces(sources, "doc_id", "source", piece)
+    return held.join(asked, "gram").select("item_id", "doc_id").distinct()
+
+
 def quota_issues(rows: DataFrame, category: str, quotas: dict[str, int]) -> DataFrame:
     """(category, n, wanted) of categories whose count is not its quota."""
     wanted = rows.sparkSession.createDataFrame(list(quotas.items()), f"{category} string, wanted int")

@@ -81,6 +81,33 @@ def longest_common_run(spark, d):
     return validate.longest_common_run(containing(spark, d), ["item_id", "doc_id"], "query", "source").select("item_id", "doc_id", "run")
 
 
+def leak_texts(spark, d):
+    """(benchmark texts, document texts)."""
+    b = table(spark, d, "benchmark", "item_id", "text").select("item_id", F.col("text").alias("query"))
+    return b, table(spark, d, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("source"))
+
+
+@query("overlap_leaks", f"SELECT item_id, doc_id, round(o, 6) AS overlap FROM (SELECT item_id, doc_id, CAST(len(list_intersect(qt, dt)) AS DOUBLE) / len(qt) AS o FROM (SELECT item_id, list_distinct({T('text')}) AS qt FROM benchmark), (SELECT doc_id, list_distinct({T('text')}) AS dt FROM documents)) WHERE o > {validate.LEAK}")
+def overlap_leaks(spark, d):
+    b, docs = leak_texts(spark, d)
+    pairs = validate.overlap_candidates(b, docs).join(b, "item_id").join(docs, "doc_id")
+    return validate.lexical_leaks(pairs).where("leak").select("item_id", "doc_id", "overlap")
+
+
+@query(
+    "common_run_leaks",
+    f"""WITH b AS (SELECT item_id, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM (SELECT item_id, {T('text')} AS t FROM benchmark)),
+    s AS (SELECT doc_id, generate_subscripts(t, 1) AS j, unnest(t) AS token FROM (SELECT doc_id, {T('text')} AS t FROM documents)),
+    m AS (SELECT item_id, doc_id, j - i AS shift, i - row_number() OVER (PARTITION BY item_id, doc_id, j - i ORDER BY i) AS island FROM b JOIN s USING (token)),
+    n AS (SELECT item_id, doc_id, count(*) AS n FROM m GROUP BY item_id, doc_id, shift, island)
+    SELECT item_id, doc_id, max(n) AS run FROM n GROUP BY ALL HAVING max(n) >= {validate.RUN}""",
+)
+def common_run_leaks(spark, d):
+    b, docs = leak_texts(spark, d)
+    pairs = validate.run_candidates(b, docs).join(b, "item_id").join(docs, "doc_id")
+    return validate.longest_common_run(pairs, ["item_id", "doc_id"], "query", "source").where(F.col("run") >= validate.RUN)
+
+
 # ---- retrieval --------------------------------------------------------------------------------------------------
 
 _BM25 = f"""

@@ -218,3 +218,16 @@ def test_oracle_recall_looks_30_deep(spark):
     gold = spark.createDataFrame([(0, 5), (1, 6), (2, 20), (3, 31)], "query_id int, id int")
     pool = bm25.search(docs, asked, 30, "doc_id", "text").withColumnRenamed("doc_id", "id")
     assert tuple(governance.oracle_recall(pool, gold).first()) == (4, 0.75, 2)
+
+
+def test_partial_leaks(spark):
+    """A passage in other case and spacing, with one word changed, or cut short is found; at the threshold or below it is not."""
+    words = [f"w{i}" for i in range(20)]
+    docs = {1: "\n ".join(words).upper(), 2: " ".join(["x", *words[:9], "y", *words[10:]]), 3: " ".join(["x", "x", *words[3:12]]), 4: " ".join(words[:8]), 5: " ".join(sorted(words[:14])), 6: " ".join(sorted(words[:13]))}
+    b = spark.createDataFrame([(7, " ".join(words)), (8, "w0 w1")], "item_id int, query string")
+    d = spark.createDataFrame(list(docs.items()), "doc_id int, source string")
+    pairs = lambda found: found.join(b, "item_id").join(d, "doc_id")
+    leaks = validate.lexical_leaks(pairs(validate.overlap_candidates(b, d))).where("leak and item_id = 7")
+    assert {r["doc_id"]: r["overlap"] for r in leaks.collect()} == {1: 1.0, 2: 0.95, 5: 0.7}
+    runs = validate.longest_common_run(pairs(validate.run_candidates(b, d)), ["item_id", "doc_id"], "query", "source").where("run >= 9")
+    assert {(r["item_id"], r["doc_id"]): r["run"] for r in runs.collect()} == {(7, 1): 20, (7, 2): 10, (7, 3): 9}
