@@ -1,4 +1,4 @@
-"""Evidence: components of passages, scout bundles, direct evidence for resolved citations."""
+"""Evidence: components of passages, scout bundles, evidence of single nodes."""
 
 from __future__ import annotations
 

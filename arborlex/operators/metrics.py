@@ -1,7 +1,7 @@
 """Retrieval metrics over ranked rows, as two-level aggregates.
 
-A row has query_id, rank, exact_hit, index_tokens, evidence_tokens, included (node ids) and components (hash,
-tokens). Gold is (query_id, gold_ids, required_ids). Every metric is an average over queries of a per-query value.
+A row has query_id, rank, exact_hit, evidence_tokens and included (node ids); gold is (query_id, required_ids). Every
+metric of aggregate() is an average over queries of a per-query value. aggregate_duplication() states its own columns.
 """
 
 from __future__ import annotations
@@ -42,6 +42,41 @@ def aggregate(queries: DataFrame, rows: DataFrame, by: str | None = None, top_k:
     return per.groupBy("grp", "k").agg(F.count("*").alias("queries"), r("reciprocal", "mrr"), r("hit", "recall"), r("evidence", "evidence_coverage"), r("tokens", "avg_evidence_tokens"))
 
 
+def aggregate_duplication(queries: DataFrame, rows: DataFrame, top_k: tuple[int, ...] = TOP_K) -> DataFrame:
+    """One row per k: structural coverage, index tokens, relevant density, and what the first k rows hold twice.
+
+    queries: (query_id, gold_ids, required (id, tokens)); rows: (query_id, rank, covered (gold ids), nodes (id, tokens),
+    contexts (ids), components (hash, tokens), index_tokens, evidence_tokens). Without components, nodes are counted. A query
+    without gold has coverage 0."""
+    lists = ("covered", "nodes", "contexts", "components")
+    ks = queries.select("query_id", "gold_ids", "required", F.explode(F.array(*map(F.lit, top_k))).alias("k"))
+    joined = ks.join(rows.select("query_id", "rank", *lists, "index_tokens", "evidence_tokens"), "query_id", "left")
+    mine = F.col("rank") <= F.col("k")
+    sums = [F.sum(F.when(mine, F.col(c)).otherwise(0)).alias(c) for c in ("index_tokens", "evidence_tokens")]
+    per = joined.groupBy("query_id", "k").agg(*[F.flatten(F.collect_list(F.when(mine, F.col(c)))).alias(c) for c in lists], *sums, F.first("gold_ids").alias("gold_ids"), F.first("required").alias("required"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + x["tokens"])
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    twice = lambda xs: F.when(F.size(xs) > 0, 1 - F.size(F.array_distinct(xs)) / F.size(xs)).otherwise(0.0)
+    ids = F.transform("nodes", lambda x: x["id"])
+    parts = F.size("components") > 0
+    held = F.when(parts, F.col("components")).otherwise(F.transform("nodes", lambda x: F.struct(x["id"].alias("hash"), x["tokens"].alias("tokens"))))
+    per = per.withColumn("held", held).withColumn("repeated", total(F.col("held")) - total(F.array_distinct("held"))).withColumn("all", F.when(parts, total(F.col("components"))).otherwise(F.col("evidence_tokens")))
+    relevant = F.least(F.col("evidence_tokens"), total(F.filter("required", lambda x: F.array_contains(ids, x["id"]))))
+    per = per.select(
+        "k",
+        share(F.size(F.array_intersect("covered", "gold_ids")), F.size(F.array_distinct("gold_ids"))).alias("structural"),
+        share(relevant, F.col("evidence_tokens")).alias("density"),
+        twice(ids).alias("nodes"),
+        twice(F.col("contexts")).alias("contexts"),
+        F.least(share(F.col("repeated"), F.col("all")), F.lit(1.0)).alias("ratio"),
+        *("repeated", "all", "index_tokens"),
+        F.size(F.array_distinct(ids)).alias("unique"),
+    )
+    r = lambda c, name: F.round(c, 6).alias(name)
+    means = {"structural": "structural_coverage", "index_tokens": "avg_index_tokens", "density": "relevant_token_density", "nodes": "duplicate_node_ratio", "contexts": "duplicate_context_ratio", "ratio": "duplicate_token_ratio", "repeated": "avg_duplicate_token_count", "all": "avg_total_component_tokens", "unique": "unique_source_node_coverage"}
+    return per.groupBy("k").agg(F.count("*").alias("queries"), *[r(F.avg(c), name) for c, name in means.items()], r(linear(0.5, "ratio"), "duplicate_token_ratio_median"), r(nearest_rank(0.95, "ratio"), "duplicate_token_ratio_p95"))
+
+
 def redundancy(components: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, total, unique_tokens, repeated, ratio) of components (keys, hash, tokens): a hash counts once."""
     once = components.groupBy(*keys, "hash").agg(F.min("tokens").alias("one"), F.sum("tokens").alias("all"), F.count("*").alias("times"))

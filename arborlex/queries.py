@@ -274,6 +274,21 @@ def ir_metrics_by_category(spark, d):
     return metrics.aggregate(*ranked_rows(spark, d), by="category")
 
 
+@query("ir_duplication_at_k")
+def ir_duplication_at_k(spark, d):
+    """A document is a node, its lines are its components."""
+    queries, rows = ranked_rows(spark, d)
+    docs = table(spark, d, "documents", "doc_id", "text")
+    node = lambda id_, n: F.struct(id_.alias("id"), n.alias("tokens"))
+    line = lambda x: F.struct(F.sha2(F.array_join(X.tokens(x), " "), 256).alias("hash"), F.size(X.tokens(x)).alias("tokens"))
+    need = queries.select("query_id", F.explode("required_ids").alias("doc")).join(docs.withColumn("doc", F.col("doc_id").cast("string")), "doc")
+    need = need.groupBy("query_id").agg(F.collect_list(node(F.col("doc"), F.size(X.tokens(F.col("text"))))).alias("required"))
+    queries = queries.join(need, "query_id", "left").withColumn("required", F.coalesce("required", F.array().cast("array<struct<id:string,tokens:int>>"))).withColumnRenamed("required_ids", "gold_ids")
+    rows = rows.join(docs, "doc_id").withColumn("covered", F.when(F.col("exact_hit"), F.array("doc")).otherwise(F.array().cast("array<string>"))).withColumn("contexts", F.array().cast("array<string>"))
+    rows = rows.withColumn("nodes", F.array(node(F.col("doc"), F.col("evidence_tokens")))).withColumn("components", F.transform(F.split("text", "\n"), line)).withColumn("index_tokens", F.col("evidence_tokens"))
+    return metrics.aggregate_duplication(queries, rows)
+
+
 @query("first_hit_rank", f"WITH {_HITS} SELECT need.query_id, coalesce(min(rank) FILTER (exact), 0) AS first_rank, round(coalesce(1.0 / min(rank) FILTER (exact), 0.0), 6) AS reciprocal FROM need LEFT JOIN hits USING (query_id) GROUP BY need.query_id")
 def first_hit_rank(spark, d):
     return metrics.first_hits(*ranked_rows(spark, d)).withColumn("reciprocal", F.round("reciprocal", 6)).withColumn("first_rank", F.coalesce("first_rank", F.lit(0)))

@@ -231,3 +231,17 @@ def test_partial_leaks(spark):
     assert {r["doc_id"]: r["overlap"] for r in leaks.collect()} == {1: 1.0, 2: 0.95, 5: 0.7}
     runs = validate.longest_common_run(pairs(validate.run_candidates(b, d)), ["item_id", "doc_id"], "query", "source").where("run >= 9")
     assert {(r["item_id"], r["doc_id"]): r["run"] for r in runs.collect()} == {(7, 1): 20, (7, 2): 10, (7, 3): 9}
+
+
+def test_aggregate_duplication(spark):
+    q = spark.createDataFrame([("q", ["g", "h"], [("a", 4), ("z", 9)]), ("none", ["g"], [("a", 4)])], "query_id string, gold_ids array<string>, required array<struct<id:string,tokens:int>>")
+    cols = "query_id string, rank int, covered array<string>, nodes array<struct<id:string,tokens:int>>, contexts array<string>, components array<struct<hash:string,tokens:int>>, index_tokens int, evidence_tokens int"
+    parts = [[("x", 4), ("y", 6)], [("x", 4), ("w", 6)]]
+    rows = [("q", 1, ["g"], [("a", 4), ("b", 6)], ["c"], parts[0], 3, 10), ("q", 2, ["g"], [("a", 4), ("c", 6)], ["c"], parts[1], 5, 10)]
+    for with_parts in (True, False):
+        got = {r["k"]: r for r in metrics.aggregate_duplication(q, spark.createDataFrame([r if with_parts else (*r[:5], [], *r[6:]) for r in rows], cols), (1, 2)).collect()}
+        one, two = got[1], got[2]
+        assert (one["queries"], one["structural_coverage"], one["avg_index_tokens"], one["relevant_token_density"], one["duplicate_token_ratio"]) == (2, 0.25, 1.5, 0.2, 0.0)
+        assert (two["structural_coverage"], two["avg_index_tokens"], two["relevant_token_density"], two["duplicate_node_ratio"], two["duplicate_context_ratio"]) == (0.25, 4.0, 0.1, 0.125, 0.25)
+        assert (two["duplicate_token_ratio"], two["duplicate_token_ratio_median"], two["duplicate_token_ratio_p95"]) == (0.1, 0.1, 0.2)
+        assert (two["avg_duplicate_token_count"], two["avg_total_component_tokens"], two["unique_source_node_coverage"]) == (2.0, 10.0, 1.5)
