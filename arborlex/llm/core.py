@@ -26,20 +26,33 @@ U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 
 
+#: Whether a write's shuffle files go as soon as it ends; Spark else keeps them until the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a session without executors of its own may name none: then it
+    is a temporary folder of the one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="arborlex-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage so that a lost executor costs no replay."""
+    """Writes df to the shared folder and reads it back: cuts lineage so that a lost executor costs no replay, and frees
+    the shuffle files that led to it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._arborlex_path = path
     return out

@@ -6,11 +6,11 @@ gets the answers back by shard name. A key that a third of all rows hold is then
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .core import U64, column_bytes, tidy
@@ -18,12 +18,12 @@ from .core import U64, column_bytes, tidy
 
 def pack(documents: DataFrame, text: str, shard_bytes: int, sort_by: str | None = None) -> DataFrame:
     """(shard, size, batch): all columns of the rows, sorted within the shard, as one compressed Arrow stream. To be
-    written before use: names are drawn at random."""
+    written before use: names follow the rows' place in the input, which another read may deal otherwise."""
     at_text, at_sort = documents.columns.index(text), documents.columns.index(sort_by) if sort_by else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        held, size = [], 0
+        held, size, made = [], 0, 0
 
         def out() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
@@ -32,7 +32,7 @@ def pack(documents: DataFrame, text: str, shard_bytes: int, sort_by: str | None
             table, sink = table.combine_chunks(), pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(table)
-            name = int.from_bytes(os.urandom(8), "little") >> 1
+            name = TaskContext.get().partitionId() << 32 | made
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "size", "batch"])
 
         for batch in batches:
@@ -46,7 +46,7 @@ def pack(documents: DataFrame, text: str, shard_bytes: int, sort_by: str | None
                 i = j
                 if size >= shard_bytes or i < batch.num_rows:
                     yield out()
-                    held, size = [], 0
+                    held, size, made = [], 0, made + 1
         if held:
             yield out()
 

@@ -218,6 +218,23 @@ def test_repeats_across_shards(docs, monkeypatch):
     assert got == {i: w[2] for i, w in want.items()}
 
 
+def test_repeats_of_a_hot_passage(spark, monkeypatch):
+    """A passage that most documents hold in other surroundings, periodic texts, and rows that share an id."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(repeats, "_INDEX", 2000)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, rows = noise(260), []
+    for i in range(120):
+        text = noise(rng.randrange(200)) + (hot[rng.randrange(60) : 260 - rng.randrange(60)] if i % 4 else "") + noise(rng.randrange(200))
+        rows.append((i, "ab" * rng.randrange(40, 120) if i % 15 == 0 else text))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(df).collect()}
+    assert got == cut(rows, 100)
+    same = spark.createDataFrame([(7, hot), (7, hot), (None, hot), (None, None)], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in repeats.remove_repeats(same).collect()) == [0, 0, 260, 260]
+
+
 def components(rows, width, percent):
     def shingles(t):
         w = WORD.findall(lower(t or ""))
