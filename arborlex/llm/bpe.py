@@ -3,9 +3,10 @@
 Encoding. After a prefix of a pre-token, the tokens ending there are known up to a short tail: what follows
 can only reach back to positions from which the bytes read so far are a proper prefix of some token. A state
 keeps those positions, each with its token path since the last boundary that all of them share; tokens before
-that boundary are emitted. Two tokens may stand side by side only if the merges leave them so. States are
-named by (last emitted token, bytes not yet emitted), built when first met, and forgotten together when there
-are too many, so memory stays bounded on any input.
+that boundary are emitted. Two tokens may stand side by side only if the merges leave them so. A state is
+its last emitted token, the bytes not yet emitted and the paths. It is built when met, remembered when met again,
+and all are forgotten together when there are too many, so memory stays bounded on any input, and what occurs once
+(most long pre-tokens) takes none of it.
 
 Decoding. Token bytes run through an incremental UTF-8 automaton whose state is the open sequence; a malformed
 or cut sequence becomes U+FFFD, as bytes.decode(errors="replace") would give.
@@ -18,7 +19,6 @@ table gives an empty one.
 from __future__ import annotations
 
 import base64
-import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 
 from .core import CACHES, tidy
 
-#: States and remembered pre-tokens that one worker keeps.
-MAX_STATES = 250_000
-MAX_PIECES = 200_000
+#: States and remembered pre-tokens that one worker keeps (about 0.5 and 0.25 kB each), and joins that it has judged.
+MAX_STATES = 150_000
+MAX_PIECES = 100_000
+MAX_JOINS = 250_000
 #: Longer pre-tokens are not remembered.
 MAX_PIECE_CHARS = 48
 #: Documents that are turned into Python strings together.
@@ -46,16 +47,36 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 _BYTE = [bytes((i,)) for i in range(256)]
 
 
-class _State:
-    __slots__ = ("prev", "pending", "live", "next", "final")
+class _Met:
+    """Tells what was met before, by a bit per hash; may forget, and may take one thing for another."""
 
-    def __init__(self, prev: int, pending: bytes, live: tuple, final: tuple):
-        self.prev, self.pending, self.live, self.final = prev, pending, live, final
-        self.next: dict[int, tuple[_State, tuple]] | None = None  # most states end a pre-token
+    BITS = 20
+
+    def __init__(self) -> None:
+        self.bits, self.count = bytearray(1 << (self.BITS - 3)), 0
+
+    def again(self, x: object) -> bool:
+        h = hash(x) & ((1 << self.BITS) - 1)
+        at, bit = h >> 3, 1 << (h & 7)
+        if self.bits[at] & bit:
+            return True
+        if self.count >= 1 << (self.BITS - 1):
+            self.bits, self.count = bytearray(len(self.bits)), 0
+        self.bits[at] |= bit
+        self.count += 1
+        return False
+
+
+#: The state before the first byte: no token emitted, no bytes pending, one empty path.
+_START = (-1, b"", ())
 
 
 class Transducer:
-    """Bytes of one pre-token in, token ids out."""
+    """Bytes of one pre-token in, token ids out.
+
+    keys holds each remembered state, ids its number, moves by number and byte the next one's number, alone or with
+    the tokens emitted on the way. A state that is not remembered has the number -1.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -63,15 +84,13 @@ class Transducer:
         self.length = {i: len(b) for b, i in ranks.items()}
         self.prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
         self.joins: dict[int, bool] = {}
+        self.met = _Met()
         self.reset()
 
     def reset(self) -> None:
-        self.start = _State(-1, b"", ((0, ()),), ())
-        self.states: dict[tuple, _State] = {}
-        if self.max_states >= 10_000:
-            gc.collect()  # states point to each other: else the old ones stay beside the new ones for a while
-        if len(self.joins) > 2 * self.max_states:
-            self.joins.clear()
+        self.keys: list[tuple] = [_START]
+        self.ids: dict[tuple, int] = {_START: 0}
+        self.moves: dict[int, int | tuple[int, tuple]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The tokens of a short string by repeated merging: lowest rank first, leftmost of equals."""
@@ -86,62 +105,71 @@ class Transducer:
     def _judge(self, left: int, right: int) -> bool:
         """Whether the merges keep the two tokens apart where they meet."""
         a, b = self.tokens[left], self.tokens[right]
-        found = self.joins[left << 20 | right] = self.merged(a + b) == [a, b]
+        if len(self.joins) >= MAX_JOINS:
+            self.joins.clear()
+        found = self.joins[left << 32 | right] = self.merged(a + b) == [a, b]
         return found
 
-    def step(self, state: _State, byte: int) -> tuple[_State, tuple]:
-        pending, prev = state.pending + _BYTE[byte], state.prev
-        path, live, prefixes, joins = None, [], self.prefixes, self.joins
-        for entry in state.live:
-            at, tokens = entry
-            tail = pending[at:]
+    def step(self, state: tuple, number: int, byte: int) -> tuple[tuple, int, tuple]:
+        """The next state, its number, and the tokens emitted."""
+        prev, pending = state[0], state[1] + _BYTE[byte]
+        path, live, prefixes, joins, length = None, [], self.prefixes, self.joins, self.length
+        for tokens in state[2:]:
+            tail = pending[sum([length[t] for t in tokens]) :]
             if path is None and (token := self.ranks.get(tail)) is not None:
                 before = tokens[-1] if tokens else prev
-                if before >= 0 and (fits := joins.get(before << 20 | token)) is None:
+                if before >= 0 and (fits := joins.get(before << 32 | token)) is None:
                     fits = self._judge(before, token)
                 if before < 0 or fits:
                     path = (*tokens, token)
             if tail in prefixes:
-                live.append(entry)
+                live.append(tokens)
         if path is None:
             raise ValueError("the ranks do not cover every byte or are no merge order")
         shared = len(path)
-        for _, tokens in live:
+        for tokens in live:
             k = 0
             for x, y in zip(tokens, path[:shared]):  # noqa: B905  the shorter one ends it
                 if x != y:
                     break
                 k += 1
             shared = k
-        live.append((len(pending), path))
+        live.append(path)
         emitted = path[:shared]
         if shared:
-            cut = sum([self.length[t] for t in emitted])
-            prev, pending = emitted[-1], pending[cut:]
-            live = [(at - cut, p[shared:]) for at, p in live]
-        if live[0][1]:
+            prev, pending = emitted[-1], pending[sum([length[t] for t in emitted]) :]
+            live = [p[shared:] for p in live]
+        if live[0]:
             prev = -1  # every path has a token of its own, so the last emitted one no longer matters
-        key = (prev, pending, *[p for _, p in live])
-        found = self.states.get(key)
-        if found is None:
-            if len(self.states) >= self.max_states:
+        key = (prev, pending, *live)
+        found = self.ids.get(key, -1)
+        if found < 0 and self.met.again(key):
+            if len(self.keys) >= self.max_states:
                 self.reset()
-            found = self.states[key] = _State(prev, pending, tuple(live), path[shared:])
-        out = (found, emitted)
-        if state.next is None:
-            state.next = {byte: out}
-        else:
-            state.next[byte] = out
-        return out
+                number = -1
+            found = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+        if found >= 0 and number >= 0:
+            self.moves[number << 8 | byte] = (found, emitted) if emitted else found
+        return key, found, emitted
 
     def encode(self, data: bytes) -> list[int]:
-        state, out = self.start, []
+        state, number, out, moves = _START, 0, [], self.moves
         for byte in data:
-            known = state.next
-            state, emitted = (known and known.get(byte)) or self.step(state, byte)
-            if emitted:
-                out += emitted
-        out += state.final
+            if number >= 0:
+                known = moves.get(number << 8 | byte)
+                if known is not None:
+                    if known.__class__ is int:
+                        number = known
+                    else:
+                        number, emitted = known
+                        out += emitted
+                    continue
+                state = self.keys[number]
+            state, number, emitted = self.step(state, number, byte)
+            moves = self.moves
+            out += emitted
+        out += (self.keys[number] if number >= 0 else state)[-1]
         return out
 
 
@@ -158,16 +186,22 @@ class Encoder:
 
 
 class _Known(dict):
+    """Ids of the pre-tokens that were met before: the later half, and in old those that were there when it began."""
+
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.met, self.old = transducer, _Met(), {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) <= MAX_PIECE_CHARS:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+            if len(piece) > MAX_PIECE_CHARS or not self.met.again(piece):
+                return ids
+        if len(self) >= MAX_PIECES // 2:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -235,7 +269,7 @@ class Decoder:
                 continue
             found = memo.get((held, i))
             if found is None:
-                if len(memo) >= MAX_STATES:
+                if len(memo) >= MAX_JOINS:
                     memo.clear()
                 found = memo[held, i] = self._run(held, i)
             out.append(found[0])

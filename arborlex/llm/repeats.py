@@ -182,8 +182,9 @@ def _windows_to_remove(texts: np.ndarray, lengths: np.ndarray, n: np.ndarray, do
     return masks
 
 
-def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows and columns, and kept (binary: the bytes that stay), n_bytes, n_removed and n_spans (long)."""
+def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """The input's rows and columns, and kept (binary: the bytes that stay), n_bytes, n_removed and n_spans (long).
+    as_text: kept is a string instead, without the characters of which a cut took a byte; counts stay those of bytes."""
     if length <= _WINDOW + 8:
         raise ValueError("strings must be longer than 72 bytes")
     documents = documents.drop("kept", "n_bytes", "n_removed", "n_spans")
@@ -281,7 +282,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     judged = sent.groupBy("bucket").applyInArrow(judge, "shard long, bucket long, masks binary")
     # written, so that the shuffled texts are gone before the shards are dealt again
     masks = materialise(judged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")))
-    schema = T.StructType([*documents.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
+    schema = T.StructType([*documents.schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
 
     def cut_shard(packed: pa.Scalar, told: pa.Scalar, answer: pa.Scalar) -> pa.RecordBatch | None:
         r = shard_parts(packed, told)
@@ -308,12 +309,15 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
             change[0] = 0
             return np.diff(change[r.offsets]).astype(np.int64)
 
-        removed, spans = count(gone), count(begin)
-        left, lengths = r.buf[~gone].tobytes(), np.diff(r.offsets)
-        ends = np.cumsum(lengths - removed)
-        kept = [left[a:b] for a, b in zip(ends - lengths + removed, ends, strict=True)]
+        removed, spans, lengths = count(gone), count(begin), np.diff(r.offsets)
+        if as_text and len(gone):
+            lead = np.flatnonzero((r.buf & np.uint8(0xC0)) != 0x80)
+            gone = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(gone))))
+        left, sizes = r.buf[~gone].tobytes(), lengths - count(gone)
+        ends = np.cumsum(sizes)
+        kept = [left[a:b] for a, b in zip(ends - sizes, ends, strict=True)]
         if r.table.num_rows:
-            made = [pa.array(kept, pa.binary()), *(pa.array(x) for x in (lengths, removed, spans))]
+            made = [pa.array(kept, pa.binary()).cast(pa.string()) if as_text else pa.array(kept, pa.binary()), *(pa.array(x) for x in (lengths, removed, spans))]
             return pa.RecordBatch.from_arrays([*r.table.to_batches()[0].columns, *made], names=schema.names)
         return None
 

@@ -235,6 +235,16 @@ def test_repeats_of_a_hot_passage(spark, monkeypatch):
     assert sorted(r["n_removed"] for r in repeats.remove_repeats(same).collect()) == [0, 0, 260, 260]
 
 
+def test_repeats_as_text(spark):
+    """A cut inside a character takes that character; replacement characters of the input stay."""
+    twice = "".join(chr(0x4E00 + i) for i in range(40))
+    rows = [(1, "\ufffd " + twice + "\u6f22"), (2, "keep \ufffd this " + twice + "\u6f23 \ufffd"), (3, None), (4, "\ufffd")]
+    out = {r["doc_id"]: (r["kept"], r["n_removed"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), as_text=True).collect()}
+    want = cut(rows, 100)
+    assert out[1] == (rows[0][1], 0) and out[3] == ("", 0) and out[4] == ("\ufffd", 0)
+    assert out[2] == ("keep \ufffd this \ufffd", 123) and want[2][2] == 123  # a space, 40 characters, two bytes of the last
+
+
 def components(rows, width, percent):
     def shingles(t):
         w = WORD.findall(lower(t or ""))
