@@ -39,10 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts. Bytes of a character that a cut leaves incomplete go too."""
-    out = repeats.remove_repeats(docs.select(*COLUMNS), LENGTH)
-    whole = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, whole).otherwise(F.col("text")))
+    """Cuts repeated passages out of the texts. Characters of which a cut took a byte go too."""
+    out = repeats.remove_repeats(docs.select(*COLUMNS), LENGTH, as_text=True)
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
