@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .core import CACHES, tidy
 
 #: States and remembered pre-tokens that one worker keeps (about 0.5 and 0.25 kB each), and joins that it has judged.
-MAX_STATES = 150_000
+MAX_STATES = 120_000
 MAX_PIECES = 100_000
 MAX_JOINS = 250_000
 #: Longer pre-tokens are not remembered.

@@ -42,17 +42,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: Rows that go to a Python worker together.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, **values: str | None) -> Iterator[None]:
+    """Session settings for a while; those given as None stay."""
+    names = {"cleanup": _CLEANUP, "batch_rows": BATCH_ROWS}
+    wanted = {names[k]: v for k, v in values.items() if v is not None}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage so that a lost executor costs no replay, and frees
-    the shuffle files that led to it."""
+    the shuffle files that led to it. batch_rows: rows that go to a Python worker together, where rows are large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _setting(spark, cleanup="true", batch_rows=None if batch_rows is None else str(batch_rows)):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._arborlex_path = path
     return out

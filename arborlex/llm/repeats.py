@@ -37,6 +37,8 @@ from .shards import bucket_cuts, pack, unpack
 
 #: Text bytes in a shard, for each bucket of contexts that shards ask about, and for each bucket of parts.
 SHARD_BYTES = 2 << 20
+#: Shards that go to a Python worker together.
+_BATCH = 8
 ASK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
 #: Consecutive windows that an anchor is the least of, at most.
 _WINDOW = 64
@@ -219,7 +221,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
 
     said = packs.select("shard", "batch").mapInArrow(ask, "bucket long, shard long, hashes binary, many binary")
     told = said.groupBy("bucket").applyInArrow(answer, "shard long, bucket long, bits binary")
-    known = materialise(told.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")))
+    known = materialise(told.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), _BATCH)
 
     def shard_parts(packed: pa.Scalar, told: pa.Scalar) -> _Parts:
         parts = _Parts(packed.as_py(), *at)
@@ -281,7 +283,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     sent = packs.join(known, "shard").select("shard", "batch", "bits").mapInArrow(send, "bucket long, shard long, " + ", ".join(f"{c} binary" for c in columns))
     judged = sent.groupBy("bucket").applyInArrow(judge, "shard long, bucket long, masks binary")
     # written, so that the shuffled texts are gone before the shards are dealt again
-    masks = materialise(judged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")))
+    masks = materialise(judged.groupBy("shard").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), _BATCH)
     schema = T.StructType([*documents.schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
 
     def cut_shard(packed: pa.Scalar, told: pa.Scalar, answer: pa.Scalar) -> pa.RecordBatch | None:
