@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel looks at together.
 SLICE_BYTES = 1 << 19
@@ -139,14 +139,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_words(fold_case: bool) -> np.ndarray:
-    table = mix64(np.arange(1, 257, dtype=U64) * U64(_MULT))
-    if fold_case:
-        table[65:91] = table[97:123]
-    return table
-
-
-_BYTES = {False: _byte_words(False), True: _byte_words(True)}
+_BYTES = mix64(np.arange(1, 257, dtype=U64) * U64(_MULT))
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -171,11 +164,18 @@ NON_ALNUM[48:58] = NON_ALNUM[97:123] = NON_ALNUM[65:91] = False
 NON_ALNUM[128:] = False
 
 
+#: Lower case of A-Z; other bytes stay.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Longer words are hashed one by one.
+_SHORT = 64
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold_case: bool = False):
     """Words of several documents at once: (hash, start byte, end byte, first word of each document).
 
-    Byte offsets count within buf; the last array has one more entry than there are documents. A hash is a
-    64-bit polynomial over scrambled bytes, the same wherever the word stands.
+    Byte offsets count within buf; the last array has one more entry than there are documents. A hash takes a
+    word's bytes eight at a time, each step scrambled, so that it has no algebra that regular texts could hit.
     """
     n = len(buf)
     if not n:
@@ -189,14 +189,18 @@ def words(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE,
     first[edges] = inside[edges]
     last[edges[edges > 0] - 1] = inside[edges[edges > 0] - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p, q = _powers(n)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(_BYTES[fold_case][buf] * p, dtype=U64, out=total[1:])
-    h = mix64((total[end] - total[start]) * q[start] + (end - start).astype(U64))
+    length = end - start
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = LOWER[buf] if fold_case else buf
+    eight = np.ndarray((n,), np.dtype("<u8"), padded, strides=(1,))
+    h = mix64(length.astype(U64) * U64(_MULT))
+    left = np.flatnonzero(length <= _SHORT)
+    for k in range(0, _SHORT, 8):
+        left = left[length[left] > k]
+        if not len(left):
+            break
+        spare = U64(8) * (U64(8) - np.minimum(length[left] - k, 8).astype(U64))
+        h[left] = mix64(h[left] * U64(_MULT) + (eight[start[left] + k] << spare))
+    for i in np.flatnonzero(length > _SHORT):
+        h[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8).digest(), "little")
     return h, start, end, np.searchsorted(start, offsets)
-
-
-def row_key(*cols: str):
-    """A stable 64-bit name of a row's content, for tie-breaks."""
-    return F.xxhash64(*cols)

@@ -5,10 +5,11 @@
    the pivot, is compared with the others, links are confirmed, and the bucket goes into the next round without
    its pivot unless all its members are in one component by then. A pair is thus left out only if it is linked
    through others already. After ROUNDS rounds, what is left is compared in blocks of BLOCK members,
-   sets at hand, and only links that join components leave a task.
+   texts at hand, and only links that join components leave a task.
 3. A candidate pair's signatures are compared BATCH rows at a time; it is dropped once the posterior probability
    that its similarity reaches the threshold, under a uniform prior, is below MISS. Survivors are confirmed by
-   intersection and union of the full shingle sets.
+   intersection and union of the full shingle sets, made of the words themselves and not of hashes. (Step 1 goes by
+   128 bits of hashes of a whole set.)
 
 Definitions: words are maximal runs of bytes other than the six ASCII separators, A-Z lower-cased; a text with
 fewer words than a shingle is one shingle; one without words has an empty set and no links. A doc_id names one
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .core import U64, column_bytes, drop, materialise, mix64, slices, tidy, words
+from .core import LOWER, U64, column_bytes, drop, materialise, mix64, slices, tidy, words
 
 BANDS, ROWS = 24, 5
 BATCH = 20
@@ -171,40 +172,52 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union."""
-
+def _word_numbers(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal numbers for equal words, from 0, and the first word of each text."""
+    h, start, end, first = words(buf, offsets, fold_case=True)
+    _, one, number = np.unique(h, return_index=True, return_inverse=True)
+    folded, length, like = LOWER[buf], end - start, one[number]
+    if len(h) and (same := bool((length == length[like]).all())):
+        ends = np.cumsum(length)
+        step = np.arange(ends[-1]) - np.repeat(ends - length, length)
+        same = bool((folded[step + np.repeat(start, length)] == folded[step + np.repeat(start[like], length)]).all())
+    if len(h) and not same:  # two words of one hash
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(folded[a:b].tobytes(), len(seen)) for a, b in zip(start, end, strict=True)], np.int64)
+    return number, first
+
+
+def alike(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of the shingle sets of two texts, both with words."""
+    number, first = _word_numbers(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]))
+    a, b = number[: first[1]], number[first[1] :]
+    if not len(a) or not len(b):
+        return False
+    if min(len(a), len(b)) < width:
+        return np.array_equal(a, b)
+    cut, codes = len(a) - width + 1, [np.concatenate((a[k : len(a) - width + 1 + k], b[k : len(b) - width + 1 + k])) for k in range(width)]
+    code, many = codes[0], len(number)
+    for nxt in codes[1:]:
+        code = np.unique(code * many + nxt, return_inverse=True)[1]  # products stay below 2^62
+    kinds = int(code.max()) + 1
+    left, right = np.zeros(kinds, bool), np.zeros(kinds, bool)
+    left[code[:cut]] = right[code[cut:]] = True
+    return bool(100 * (left & right).sum() >= percent * (left | right).sum())
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
-            left, right = (column_bytes(batch.column(k)) for k in (2, 3))
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (buf[o[i] : o[i + 1]].view(U64) for buf, o in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            (x, i), (y, j) = (column_bytes(batch.column(k)) for k in (2, 3))
+            keep = [alike(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], width, percent) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
-
-
-def _sets(documents: DataFrame, id_col: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, hashes): the packed shingle sets of the wanted ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        for batch in batches:
-            buf, offsets = column_bytes(batch.column(1))
-            for i, j in slices(offsets):
-                sets = [x.tobytes() for x in shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["rep", "hashes"])
-
-    rows = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
-    return rows.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, hashes binary")
+    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _linked(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _linked(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, texts: list[np.ndarray], width: int, percent: int) -> list[tuple[int, int]]:
     """Confirmed links that join components, between side 0 and side 1, or within side 0 if there is no other."""
     root = {int(c): int(c) for c in comp}
 
@@ -223,17 +236,15 @@ def _linked(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray
         js = js[survives(np.broadcast_to(sig[i], (len(js), _HASHES)), sig[js], percent / 100)]
         for j in js:
             a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    root[max(a, b)] = min(a, b)
-                    out.append((int(rep[i]), int(rep[j])))
+            if a != b and alike(texts[i], texts[j], width, percent):
+                root[max(a, b)] = min(a, b)
+                out.append((int(rep[i]), int(rep[j])))
     return out
 
 
-def _leftover(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _leftover(members: DataFrame, sigs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between components in the buckets that pivots have not settled. Classes that reach each other through
-    shared buckets are compared in blocks, with their sets at hand; only links that join components come out."""
+    shared buckets are compared in blocks, with their texts at hand; only links that join components come out."""
     low = materialise(members.groupBy("bucket").agg(F.min("rep").alias("low")))
     clusters = connected_components(members.join(low, "bucket").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     sizes = materialise(clusters.groupBy("component").agg(F.count("*").alias("size")))
@@ -244,17 +255,17 @@ def _leftover(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
     small = rows.where(F.col("size") <= BLOCK).select("rep", "cluster", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(cells)).alias("key"), F.lit(-1).alias("x"), F.lit(-1).alias("y"))
     large = rows.where(F.col("size") > BLOCK).select("rep", "cluster", "component", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     large = large.select("rep", "cluster", "component", (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("cluster").alias("key"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    dealt = small.unionByName(large).join(sigs, "rep").join(sets, "rep")
+    dealt = small.unionByName(large).join(sigs, "rep").join(texts, "rep")
 
     def run(table: pa.Table) -> pa.Table:
         tidy()
         rep, comp, side, cluster = (table.column(c).to_numpy() for c in ("rep", "component", "side", "cluster"))
         sig = _sig_rows(table.column("sig"))
-        buf, offsets = column_bytes(table.column("hashes"))
-        hashes = [buf[a:b].view(U64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        buf, offsets = column_bytes(table.column("text"))
+        own = [buf[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         order, out = np.argsort(cluster, kind="stable"), []
         for part in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            out += _linked(rep[part], comp[part], side[part], sig[part], [hashes[i] for i in part], percent)
+            out += _linked(rep[part], comp[part], side[part], sig[part], [own[i] for i in part], width, percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return dealt.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
@@ -273,7 +284,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     counted = materialise(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"))
     members = materialise(bands.join(counted.select("bucket"), "bucket"))
     drop(counted)
-    sets = materialise(_sets(documents, id_col, text, members.select("rep").distinct(), width))
+    texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
+    texts = materialise(texts.join(members.select("rep").distinct(), "rep", "left_semi"))
     members0, links, labels = members, None, None
     members = members.withColumn("component", F.col("rep"))
     for k in range(ROUNDS + 1):
@@ -281,9 +293,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
             order = F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), F.col("rep").alias("r"), F.col("component").alias("c"))
             pivots = materialise(members.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.r").alias("pivot"), F.col("p.c").alias("pc")))
             pairs = members.join(pivots, "bucket").where("component <> pc").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-            found = _confirmed(materialise(_pruned(materialise(pairs), sigs, threshold)), sets, percent)
+            found = _confirmed(materialise(_pruned(materialise(pairs), sigs, threshold)), texts, width, percent)
         else:
-            found = _leftover(members, sigs, sets, percent)
+            found = _leftover(members, sigs, texts, width, percent)
         found = materialise(found)
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)

@@ -118,7 +118,7 @@ class _Hashes:
     def __init__(self, part: np.ndarray):
         power, self.inverse = _powers(len(part) + 1)
         self.total = np.zeros(len(part) + 1, U64)
-        np.cumsum(_BYTES[False][part] * power[:-1], dtype=U64, out=self.total[1:])
+        np.cumsum(_BYTES[part] * power[:-1], dtype=U64, out=self.total[1:])
 
     def every(self, width: int) -> np.ndarray:
         x = self.total[width:] - self.total[:-width]
@@ -192,7 +192,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_i
     documents = documents.drop("kept", "n_bytes", "n_removed", "n_spans")
     names = documents.columns
     at = (names.index(id_col), names.index(text), length)
-    packs = materialise(pack(documents, text, SHARD_BYTES, id_col))
+    packs = materialise(pack(documents, text, SHARD_BYTES, id_col), 256)
     total = packs.agg(F.sum("size")).first()[0] or 0
     ask_buckets, buckets = (max(32, -(-total // n)) for n in (ASK_BYTES, BUCKET_BYTES))
 

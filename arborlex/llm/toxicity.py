@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import U64, _BYTES, _powers, column_bytes, materialise, mix64, slices, tidy, words
+from .core import LOWER, U64, _BYTES, _powers, column_bytes, materialise, mix64, slices, tidy, words
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -60,7 +60,7 @@ def ngrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     x = np.append(x, np.uint8(32))
     power, inverse = _powers(total)
     sums = np.zeros(total + 1, U64)
-    np.cumsum(_BYTES[True][x] * power, dtype=U64, out=sums[1:])
+    np.cumsum(_BYTES[LOWER[x]] * power, dtype=U64, out=sums[1:])
     gaps = np.concatenate(([0], np.cumsum(x == 32, dtype=np.int32)))
     found, cuts = [], []
     for n in SIZES:

@@ -298,6 +298,36 @@ def test_null_and_repeated_ids(spark):
     assert out == [(-1, -1, False), (1, 1, True), (1, 1, True), (2, 2, True)]
 
 
+def thue_morse(n):
+    """A word and its complement, which every polynomial hash modulo 2^64 confuses from some length on."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 65, 1024, 4096])
+def test_equality_of_words(spark, n):
+    from arborlex.llm.core import words
+
+    x, y = thue_morse(n)
+    h = words(np.frombuffer(f"{x} {y} {x} {x}c".encode(), np.uint8), np.array([0, 4 * n + 4]))[0]
+    assert h[0] == h[2] and len(set(h.tolist())) == 3
+    df = spark.createDataFrame([(1, x), (2, y), (3, x + " tail"), (4, x)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.near_duplicates(df, 3, 85).collect()) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 3, True), (4, 1, 1, False)]
+    scored = {r["doc_id"]: r["score"] for r in crossentropy.score(df.withColumn("target", F.col("doc_id") != 2), "target").collect()}
+    assert scored[1] == scored[4] != scored[2]
+
+
+def test_alike():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abC") for _ in range(rng.randrange(1, 3)))
+    for _ in range(300):
+        width, base = rng.choice([1, 3, 5]), [word() for _ in range(rng.randrange(1, 14))]
+        other = [w if rng.random() < 0.9 else word() for w in base]
+        x, y = " ".join(base), " \n".join(other).swapcase()
+        want = components([(1, x), (2, y)], width, 60)[2][1] == 1
+        assert minhash.alike(np.frombuffer(x.encode(), np.uint8), np.frombuffer(y.encode(), np.uint8), width, 60) == want
+
+
 def test_bayes_bound():
     for n, least in minhash.least_matches(0.85):
         assert 0 < least < n
