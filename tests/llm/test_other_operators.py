@@ -68,6 +68,59 @@ def test_transcripts(spark, monkeypatch):
     assert sorted(map(tuple, transcripts.parse(df.drop("role"), model).collect())) == plain
 
 
+def turns(spark, model, rows):
+    out = transcripts.parse(spark.createDataFrame(rows, "conv_id long, turn long, text string"), model).orderBy("conv_id", "turn", "part").collect()
+    return [(r["conv_id"], r["role"], r["rendered"].split("\n", 1)[1].rsplit("\n<|end|>", 1)[0]) for r in out]
+
+
+def test_markers_decide(spark):
+    """The model saw one turn a row, no markers, and each conversation opened by the system."""
+    rows = [(c, t, role, "w w w" + "?" * (role == "user")) for c in range(300) for t, role in enumerate(("system", "user", "assistant", "user", "assistant"))]
+    model = transcripts.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    inner = [(1, 0, "User: one\nmore\nAssistant: two?\nUser: three\nAssistant: four")]
+    assert turns(spark, model, inner) == [(1, "user", "one\nmore"), (1, "assistant", "two?"), (1, "user", "three"), (1, "assistant", "four")]
+    apart = [(1, 0, "Assistant: one two three"), (1, 1, "User: why?"), (1, 2, "Assistant: because")]
+    assert turns(spark, model, apart) == [(1, "assistant", "one two three"), (1, "user", "why?"), (1, "assistant", "because")]
+    plain = [(1, 0, "w w w"), (1, 1, "w w w?\nw w"), (1, 2, "w w w")]
+    assert [x[:2] for x in turns(spark, model, plain)] == [(1, "system"), (1, "user"), (1, "assistant")]
+
+
+def test_counts_and_order(spark):
+    """Transitions across partitions count once, and a conversation without turn numbers is cut into blocks by its rows."""
+    df = conversations(spark, 0.0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = transcripts.fit(df.coalesce(1))
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        other = transcripts.fit(df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert np.allclose(one.move, other.move) and all(np.allclose(x, y) for x, y in zip(one.show, other.show, strict=True))
+    rows = [(5, None, f"User: {i:03d}\nAssistant: {i:03d}") for i in range(300)]
+    found = turns(spark, one, rows)
+    assert len(found) == 600 and sorted(x[2] for x in found) == sorted(f"{i:03d}" for i in range(300) for _ in range(2))
+    clash = spark.createDataFrame([(1, 2, "User: x")], "conv_id long, turn long, text string").withColumn("role", F.lit("q")).withColumn("part", F.lit("q")).withColumn("rendered", F.lit(1))
+    assert [(r["role"], r["part"]) for r in transcripts.parse(clash, one).collect()] == [("user", 0)]
+
+
+def test_viterbi_against_every_path(spark):
+    from itertools import product
+
+    model = transcripts.fit(conversations(spark))
+    rng = random.Random(9)
+    for _ in range(25):
+        lines = [x for text in (rng.choice(["User: a b", "w w w w w w w w w w w w w", "why?\nAssistant: no", "a\nb"]) for _ in range(2)) for x in transcripts._lines(text)]
+        steps = [model.move + e for e in model.emissions([v for v, _, _ in lines])]
+        score = lambda path: sum(m[i, j] for m, i, j in zip(steps, (transcripts.START, *path[:-1]), path, strict=True))  # noqa: B023, E731
+        best = max(map(score, product(range(transcripts.STATES), repeat=len(steps))))
+        whole = steps[0]
+        for m in steps[1:]:
+            whole = transcripts._times(whole, m)
+        end = int(whole[transcripts.START].argmax())
+        assert np.isclose(whole[transcripts.START, end], best) and np.isclose(score(transcripts._path(steps, transcripts.START, end)), best)
+
+
 def test_transcripts_odd_rows(spark):
     model = transcripts.fit(conversations(spark))
     rows = [(None, None, None), (None, 3, ""), (1, 0, "a\nb"), (1, 0, "a\nb"), (2, 5, "User: hi?")]
