@@ -37,8 +37,8 @@ def expand_range(a: Column, b: Column) -> Column:
 
 
 def parse(queries: DataFrame, query: str = "query") -> DataFrame:
-    """Adds normalized, article, clause and points."""
-    rows = queries.withColumn("normalized", X.normalize_reference(F.col(query))).withColumn("_segment", point_segment(F.col("normalized")))
+    """Adds normalized, article, clause and points. Queries may come in any Unicode normal form."""
+    rows = queries.withColumn("normalized", X.normalize_reference(X.nfc(F.col(query)))).withColumn("_segment", point_segment(F.col("normalized")))
     a, b = _first(F.col("_segment"), RANGE), _first(F.col("_segment"), RANGE, 2)
     letters = F.regexp_extract_all("_segment", F.lit(LETTER), F.lit(1))
     points = F.when(a.isNotNull(), expand_range(a, b)).otherwise(letters)
@@ -50,7 +50,7 @@ def aliases(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, document_ids) by alias: names (document_id, alias). Longest alias first, first place only, overlaps skipped.
 
     Names are few next to queries; candidates are found by substring, then folded greedily in order within each query."""
-    n = names.select("document_id", X.normalize_reference(F.col("alias")).alias("alias")).where("alias <> ''").distinct()
+    n = names.select("document_id", X.normalize_reference(X.nfc(F.col("alias"))).alias("alias")).where("alias <> ''").distinct()
     met = queries.join(n, F.contains(F.col("normalized"), F.col("alias")))
     found = met.select("query_id", (-F.char_length("alias")).alias("order"), "document_id", "alias", F.instr("normalized", F.col("alias")).alias("start"))
     listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("order", "document_id", "alias", "start"))).alias("found"))

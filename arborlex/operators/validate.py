@@ -87,6 +87,19 @@ def longest_common_run(pairs: DataFrame, keys: list[str], left: str, right: str)
     return pairs.select(*keys).distinct().join(best, keys, "left").withColumn("run", F.coalesce("run", F.lit(0)))
 
 
+def containing_candidates(queries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(item_id, doc_id): every pair of queries (item_id, query) and sources (doc_id, source) in which the source may hold the
+    query literally. The first and last token may stand inside longer words there; of the others the source has each, so
+    the rarest one is asked. Queries of fewer than three tokens are looked for by the substring itself."""
+    tokens = X.tokens(F.col("query"))
+    inner = queries.where(F.size(tokens) > 2).select("item_id", F.explode(F.array_distinct(F.slice(tokens, F.lit(2), F.size(tokens) - 2))).alias("token"))
+    words = sources.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("source")))).alias("token")).join(inner.select("token").distinct(), "token", "left_semi")
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = inner.join(df, "token", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).getField("token").alias("token"))
+    short = queries.where(F.size(tokens) <= 2).join(sources, F.contains(F.col("source"), F.col("query"))).select("item_id", "doc_id")
+    return words.join(rarest, "token").select("item_id", "doc_id").unionByName(short).distinct()
+
+
 def overlap_candidates(queries: DataFrame, sources: DataFrame, ratio: float = LEAK) -> DataFrame:
     """(item_id, doc_id): every pair whose overlap can be above ratio, of queries (item_id, query) and sources (doc_id, source).
     Such a source lacks less than 1 - ratio of the query's tokens, so it has one of any that many: the rarest are asked."""

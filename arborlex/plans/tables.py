@@ -22,14 +22,14 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document, article and clause nodes in one table; ordinal = line * 100000 + sentence."""
+    """Document, article and clause nodes in one table; ordinal = line * 2^31 + sentence."""
     docs = table(spark, sf_dir, "documents", "doc_id").select(F.concat(F.lit("D"), F.col("doc_id")).alias("document_id"))
     root = docs.select("document_id", F.col("document_id").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("document").alias("type"), F.lit(0).cast("long").alias("ordinal"), F.lit(None).cast("int").alias("key"), F.lit("").alias("text"))
     lines = articles(spark, sf_dir).withColumn("article_id", F.concat_ws("__A", "document_id", "key"))
     sentences = lines.select("document_id", "key", "article_id", F.posexplode(F.split("text", r"\. ")).alias("s", "sentence"), F.size(F.split("text", r"\. ")).alias("n"))
     sentences = sentences.where("n > 1")
     first = F.element_at(F.split("text", r"\. "), 1)
-    ordinal = F.col("key").cast("long") * 100000
+    ordinal = F.col("key").cast("long") * (1 << 31)
     arts = lines.select("document_id", F.col("article_id").alias("node_id"), F.col("document_id").alias("parent_id"), F.lit("article").alias("type"), ordinal.alias("ordinal"), "key", first.alias("text"))
     clauses = sentences.where("s > 0").select("document_id", F.concat_ws("__C", "article_id", "s").alias("node_id"), F.col("article_id").alias("parent_id"), F.lit("clause").alias("type"), (ordinal + F.col("s")).alias("ordinal"), F.col("s").alias("key"), F.col("sentence").alias("text"))
     return root.unionByName(arts).unionByName(clauses)
@@ -43,6 +43,6 @@ sentences AS (SELECT document_id, key, document_id || '__A' || key AS article_id
               FROM (SELECT document_id, key, string_split(line, '. ') AS b FROM lines)),
 nodes AS (
   SELECT 'D' || doc_id AS document_id, 'D' || doc_id AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 'document' AS type, CAST(0 AS BIGINT) AS ordinal, CAST(NULL AS INTEGER) AS key, '' AS text FROM documents
-  UNION ALL SELECT document_id, article_id, document_id, 'article', CAST(key AS BIGINT) * 100000, CAST(key AS INTEGER), sentence FROM sentences WHERE s = 0
-  UNION ALL SELECT document_id, article_id || '__C' || s, article_id, 'clause', CAST(key AS BIGINT) * 100000 + s, CAST(s AS INTEGER), sentence FROM sentences WHERE s > 0)
+  UNION ALL SELECT document_id, article_id, document_id, 'article', CAST(key AS BIGINT) * 2147483648, CAST(key AS INTEGER), sentence FROM sentences WHERE s = 0
+  UNION ALL SELECT document_id, article_id || '__C' || s, article_id, 'clause', CAST(key AS BIGINT) * 2147483648 + s, CAST(s AS INTEGER), sentence FROM sentences WHERE s > 0)
 """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +49,10 @@ def normalized_text(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(X.normalize_text("text"), 256).alias("normal_sha256"))
 
 
-@query("frequency_keys", f"{W} SELECT key, count(*) AS n FROM (SELECT regexp_replace({_FOLD.format('line')}, '[0-9]+', '#', 'g') AS key FROM lines WHERE line <> '') GROUP BY key HAVING count(*) > 2")
+@query("frequency_keys", f"{W} SELECT key, count(*) AS n FROM (SELECT regexp_replace({_FOLD.format('line')}, '[0-9]+', '#', 'g') AS key FROM lines WHERE line <> '') GROUP BY key")
 def frequency_keys(spark, d):
     lines = table(spark, d, "documents", "text").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    return lines.groupBy(X.frequency_key(F.col("line")).alias("key")).agg(F.count("*").alias("n")).where("n > 2")
+    return lines.groupBy(X.frequency_key(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
 
 
 @query("content_hashes", "SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -61,24 +60,10 @@ def content_hashes(spark, d):
     return table(spark, d, "documents", "doc_id", "text").groupBy(X.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
 
-_PAIRS = "pairs AS (SELECT item_id, b.text AS query, doc_id, d.text AS source FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
-
-
 def containing(spark, d):
-    """(item_id, query, doc_id, source): benchmark texts are the small, stated side."""
-    b = table(spark, d, "benchmark", "item_id", "text").select("item_id", F.col("text").alias("query"))
-    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("source"))
-    return b.join(docs, F.contains(F.col("source"), F.col("query")))
-
-
-@query("overlap_ratio", f"WITH {_PAIRS} SELECT item_id, doc_id, round(CAST(len(list_intersect({T('query')}, {T('source')})) AS DOUBLE) / len(list_distinct({T('query')})), 6) AS overlap, CAST(len(list_intersect({T('query')}, {T('source')})) AS DOUBLE) / len(list_distinct({T('query')})) > 0.65 AS leak FROM pairs")
-def overlap_ratio(spark, d):
-    return validate.lexical_leaks(containing(spark, d)).select("item_id", "doc_id", "overlap", "leak")
-
-
-@query("longest_common_run", f"WITH {_PAIRS} SELECT item_id, doc_id, CAST(len({T('query')}) AS BIGINT) AS run FROM pairs")
-def longest_common_run(spark, d):
-    return validate.longest_common_run(containing(spark, d), ["item_id", "doc_id"], "query", "source").select("item_id", "doc_id", "run")
+    """(item_id, query, doc_id, source): documents that hold a benchmark text literally."""
+    b, docs = leak_texts(spark, d)
+    return validate.containing_candidates(b, docs).join(b, "item_id").join(docs, "doc_id").where(F.contains(F.col("source"), F.col("query"))).select("item_id", "query", "doc_id", "source")
 
 
 def leak_texts(spark, d):
@@ -87,22 +72,22 @@ def leak_texts(spark, d):
     return b, table(spark, d, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("source"))
 
 
-@query("overlap_leaks", f"SELECT item_id, doc_id, round(o, 6) AS overlap FROM (SELECT item_id, doc_id, CAST(len(list_intersect(qt, dt)) AS DOUBLE) / len(qt) AS o FROM (SELECT item_id, list_distinct({T('text')}) AS qt FROM benchmark), (SELECT doc_id, list_distinct({T('text')}) AS dt FROM documents)) WHERE o > {validate.LEAK}")
-def overlap_leaks(spark, d):
+@query("overlap_ratio", f"SELECT item_id, doc_id, round(o, 6) AS overlap FROM (SELECT item_id, doc_id, CAST(len(list_intersect(qt, dt)) AS DOUBLE) / len(qt) AS o FROM (SELECT item_id, list_distinct({T('text')}) AS qt FROM benchmark), (SELECT doc_id, list_distinct({T('text')}) AS dt FROM documents)) WHERE o > {validate.LEAK}")
+def overlap_ratio(spark, d):
     b, docs = leak_texts(spark, d)
     pairs = validate.overlap_candidates(b, docs).join(b, "item_id").join(docs, "doc_id")
     return validate.lexical_leaks(pairs).where("leak").select("item_id", "doc_id", "overlap")
 
 
 @query(
-    "common_run_leaks",
+    "longest_common_run",
     f"""WITH b AS (SELECT item_id, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM (SELECT item_id, {T('text')} AS t FROM benchmark)),
     s AS (SELECT doc_id, generate_subscripts(t, 1) AS j, unnest(t) AS token FROM (SELECT doc_id, {T('text')} AS t FROM documents)),
     m AS (SELECT item_id, doc_id, j - i AS shift, i - row_number() OVER (PARTITION BY item_id, doc_id, j - i ORDER BY i) AS island FROM b JOIN s USING (token)),
     n AS (SELECT item_id, doc_id, count(*) AS n FROM m GROUP BY item_id, doc_id, shift, island)
     SELECT item_id, doc_id, max(n) AS run FROM n GROUP BY ALL HAVING max(n) >= {validate.RUN}""",
 )
-def common_run_leaks(spark, d):
+def longest_common_run(spark, d):
     b, docs = leak_texts(spark, d)
     pairs = validate.run_candidates(b, docs).join(b, "item_id").join(docs, "doc_id")
     return validate.longest_common_run(pairs, ["item_id", "doc_id"], "query", "source").where(F.col("run") >= validate.RUN)
@@ -134,15 +119,15 @@ def bm25_top10(spark, d):
     return bm25_hits(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query("bm25_idf_stats", f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE df > 1")
+@query("bm25_idf_stats", f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf_stats(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
-    return bm25.idf(bm25.term_table(docs, "doc_id", "text"), bm25.corpus_stats(docs, "doc_id", "text")).where("df > 1").select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.idf(bm25.term_table(docs, "doc_id", "text"), bm25.corpus_stats(docs, "doc_id", "text")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 _VEC = """
 v AS (SELECT vec_id, 'V' || vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label, 'A' || (label * 8 + vec_id % 8) AS grp FROM embeddings),
-q AS (SELECT vec_id AS query_id, x AS y FROM v WHERE vec_id < 50),
+q AS (SELECT vec_id AS query_id, x AS y FROM v WHERE vec_id % 20 = 0),
 art AS (SELECT grp, first(x ORDER BY vec_id) AS x FROM v GROUP BY grp),
 g AS (SELECT query_id, id, round(list_dot_product(x, y), 6) AS score FROM v, q),
 g50 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g QUALIFY rank <= 50),
@@ -158,31 +143,30 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("V"), "vec_id").alias("id"), F.col("embedding").alias("vector"), grp.alias("group"))
 
 
-#: The vectors that the searches over all queries ask, and the SQL of those that ask the first 50 only.
+#: The stated query set of the searches: every vector whose id is divisible by this.
 STEP = 20
-FIRST, EVERY = "vec_id < 50", f"vec_id % {STEP} = 0"
 
 
-def vector_queries(spark, d, asked=FIRST):
-    return table(spark, d, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def vector_queries(spark, d):
+    return table(spark, d, "embeddings").where(F.col("vec_id") % STEP == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def scouts(spark, d, asked=FIRST):
+def scouts(spark, d):
     """(articles, fine hits, guided leaves) of each vector query; an article's vector is its first one."""
-    v, q = vectors(spark, d), vector_queries(spark, d, asked)
+    v, q = vectors(spark, d), vector_queries(spark, d)
     art = v.groupBy("group").agg(F.min(F.struct("vec_id", "vector")).getField("vector").alias("vector")).select(F.col("group").alias("id"), "vector")
     a = dense.global_search(art, q, 10)
     return a, dense.global_search(v, q, 50), dense.guided_search(v, q, a.select("query_id", F.col("id").alias("group"), "rank"), 3)
 
 
 @query("dense_top10", f"WITH {_VEC} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM g50 WHERE rank <= 10")
-def dense_top10(spark, d, asked=FIRST):
-    return dense.global_search(vectors(spark, d), vector_queries(spark, d, asked), 10)
+def dense_top10(spark, d):
+    return dense.global_search(vectors(spark, d), vector_queries(spark, d), 10)
 
 
 @query("guided_top3_per_group", f'WITH {_VEC} SELECT query_id, grp AS "group", CAST(group_rank AS INTEGER) AS group_rank, CAST(local_rank AS INTEGER) AS local_rank, id, score FROM l')
-def guided_top3_per_group(spark, d, asked=FIRST):
-    return scouts(spark, d, asked)[2]
+def guided_top3_per_group(spark, d):
+    return scouts(spark, d)[2]
 
 
 @query("vector_validation", "SELECT count(*) AS vectors, CAST(min(len(embedding)) AS INTEGER) AS least_dim, CAST(max(len(embedding)) AS INTEGER) AS most_dim, round(max(abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1)), 5) AS worst_norm, CAST(0 AS BIGINT) AS issues FROM embeddings")
@@ -203,15 +187,15 @@ pool AS (
 """
 
 
-def fusion_inputs(spark, d, asked=FIRST):
-    a, g, leaves = scouts(spark, d, asked)
+def fusion_inputs(spark, d):
+    a, g, leaves = scouts(spark, d)
     fine = vectors(spark, d).select("id", F.col("id").alias("primary_id"), F.col("group").alias("article_id"))
     return a.select("query_id", "rank", F.col("id").alias("article_id")), g.select("query_id", "rank", "id"), leaves.withColumnRenamed("group", "article_id"), fine
 
 
 @query("rrf_pool", f"WITH {_VEC}, {_POOL} SELECT query_id, passage_id, source, article_id, score FROM pool")
-def rrf_pool(spark, d, asked=FIRST):
-    return fusion.candidates(*fusion_inputs(spark, d, asked)).select("query_id", "passage_id", "source", "article_id", "score")
+def rrf_pool(spark, d):
+    return fusion.candidates(*fusion_inputs(spark, d)).select("query_id", "passage_id", "source", "article_id", "score")
 
 
 @query(
@@ -224,18 +208,18 @@ def rrf_pool(spark, d, asked=FIRST):
     f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY late, o) AS INTEGER) AS rank FROM s WHERE e2 QUALIFY rank <= 10)
     SELECT query_id, rank, passage_id, source, score, count(*) OVER (PARTITION BY query_id) = 10 AS complete FROM f""",
 )
-def hybrid_top10(spark, d, asked=FIRST):
-    return fusion.hybrid(*fusion_inputs(spark, d, asked)).drop("evidence_ids")
+def hybrid_top10(spark, d):
+    return fusion.hybrid(*fusion_inputs(spark, d)).drop("evidence_ids")
 
 
 @query(
     "scoped_hits",
     f"""WITH {_VEC}, h AS (SELECT query_id, rank, id, grp FROM g50 JOIN v USING (id) WHERE rank <= 10)
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank, id FROM h WHERE query_id % 2 = 0 OR CAST(substr(grp, 2) AS INTEGER) < 40""",
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank, id FROM h WHERE query_id // 20 % 2 = 0 OR CAST(substr(grp, 2) AS INTEGER) < 40""",
 )
-def scoped_hits(spark, d, asked=FIRST, step=1):
-    hits = dense.global_search(vectors(spark, d), vector_queries(spark, d, asked), 10).join(vectors(spark, d).select("id", F.col("group").alias("document_id")), "id")
-    scope = vector_queries(spark, d, asked).where(f"query_id div {step} % 2 = 1").select("query_id").join(vectors(spark, d).select(F.col("group").alias("document_id")).distinct().where("cast(substr(document_id, 2) as int) < 40"))
+def scoped_hits(spark, d):
+    hits = dense.global_search(vectors(spark, d), vector_queries(spark, d), 10).join(vectors(spark, d).select("id", F.col("group").alias("document_id")), "id")
+    scope = vector_queries(spark, d).where(f"query_id div {STEP} % 2 = 1").select("query_id").join(vectors(spark, d).select(F.col("group").alias("document_id")).distinct().where("cast(substr(document_id, 2) as int) < 40"))
     return fusion.scoped(hits, scope).select("query_id", "rank", "id")
 
 
@@ -576,10 +560,10 @@ def spread_sample(spark, d):
     return selection.spread(table(spark, d, "documents", "doc_id", "source"), "source", "doc_id", 7).select("doc_id", "source")
 
 
-@query("shadow_diff", f"WITH {_VEC}, h AS (SELECT query_id, rank, id, score FROM g50 WHERE rank <= 10) SELECT query_id, CAST(rank AS INTEGER) AS rank, CASE WHEN query_id % 10 = 0 AND rank = 10 THEN 'MISSING_RIGHT' ELSE 'OTHER_SCORE' END AS code FROM h WHERE (query_id % 10 = 0 AND rank = 10) OR (query_id % 10 = 1 AND rank = 1)")
-def shadow_diff(spark, d, asked=FIRST, step=1):
-    left = dense.global_search(vectors(spark, d), vector_queries(spark, d, asked), 10)
-    q, r = F.expr(f"query_id div {step} % 10"), F.col("rank")
+@query("shadow_diff", f"WITH {_VEC}, h AS (SELECT query_id, rank, id, score FROM g50 WHERE rank <= 10) SELECT query_id, CAST(rank AS INTEGER) AS rank, CASE WHEN query_id // 20 % 10 = 0 AND rank = 10 THEN 'MISSING_RIGHT' ELSE 'OTHER_SCORE' END AS code FROM h WHERE (query_id // 20 % 10 = 0 AND rank = 10) OR (query_id // 20 % 10 = 1 AND rank = 1)")
+def shadow_diff(spark, d):
+    left = dense.global_search(vectors(spark, d), vector_queries(spark, d), 10)
+    q, r = F.expr(f"query_id div {STEP} % 10"), F.col("rank")
     right = left.where(~((q == 0) & (r == 10))).withColumn("score", F.when((q == 1) & (r == 1), F.col("score") + 0.001).otherwise(F.col("score")))
     return selection.shadow_diff(left, right)
 
@@ -731,21 +715,15 @@ def corpus_navigation(spark, d):
 
 
 @query("guided_from_ranking", f'WITH {_VEC}, r AS (SELECT g50.query_id, g50.id, grp, CAST(row_number() OVER (PARTITION BY g50.query_id, grp ORDER BY g50.rank) AS INTEGER) AS local_rank FROM g50 JOIN v USING (id) SEMI JOIN a10 USING (query_id, grp) QUALIFY local_rank <= 3) SELECT query_id, grp AS "group", local_rank, id FROM r')
-def guided_from_ranking(spark, d, asked=FIRST):
-    a, g, _ = scouts(spark, d, asked)
+def guided_from_ranking(spark, d):
+    a, g, _ = scouts(spark, d)
     return gov.guided_from_ranking(g.join(vectors(spark, d).select("id", "group"), "id"), a.select("query_id", F.col("id").alias("group")))
 
 
-@query("oracle_recall", f"WITH {_BM25}, gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT gold.query_id, min(rank) AS best FROM gold LEFT JOIN top USING (query_id, id) GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN best <= 8 THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) FILTER (best > 2 AND best <= 8) AS ordering_failures FROM m")
+@query("oracle_recall", f"WITH {_BM25.replace('QUALIFY rank <= 10', 'QUALIFY rank <= 30')}, gold AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT gold.query_id, min(rank) AS best FROM gold LEFT JOIN top USING (query_id, id) GROUP BY 1) SELECT count(*) AS queries, round(avg(CASE WHEN best <= 30 THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) FILTER (best > 5 AND best <= 30) AS ordering_failures FROM m")
 def oracle_recall(spark, d):
     gold = containing(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
-    return gov.oracle_recall(bm25_hits(spark, d).withColumnRenamed("doc_id", "id"), gold, 8, 2)
-
-
-@query("oracle_recall_at_30", ORACLE_SQL["oracle_recall"].replace("QUALIFY rank <= 10", "QUALIFY rank <= 30").replace("best <= 8", "best <= 30").replace("best > 2", "best > 5"))
-def oracle_recall_at_30(spark, d):
-    gold = containing(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
-    return gov.oracle_recall(bm25_hits(spark, d, 30).withColumnRenamed("doc_id", "id"), gold, 30, 5)
+    return gov.oracle_recall(bm25_hits(spark, d, 30).withColumnRenamed("doc_id", "id"), gold)
 
 
 @query("latency_summary", "SELECT event_type, round(avg(value), 6) AS mean, round(list_sort(list(value))[CAST(least(floor(0.5 * count(*)) + 1, count(*)) AS INTEGER)], 6) AS p50, round(list_sort(list(value))[CAST(least(floor(0.95 * count(*)) + 1, count(*)) AS INTEGER)], 6) AS p95 FROM events GROUP BY 1")
@@ -877,9 +855,22 @@ def semantic_edges(spark, d):
     return graph.semantic(rows, texts, texts.select("node_id"), ["CITES"])[1]
 
 
-# ---- searches that ask every STEP-th vector ---------------------------------------------------------------------
+# ---- evidence of resolved citations -----------------------------------------------------------------------------
 
-for _name in ("dense_top10", "guided_top3_per_group", "rrf_pool", "hybrid_top10", "guided_from_ranking"):
-    query(f"{_name}_every", ORACLE_SQL[_name].replace(FIRST, EVERY))(partial(QUERIES[_name], asked=EVERY))
-for _name in ("scoped_hits", "shadow_diff"):
-    query(f"{_name}_every", ORACLE_SQL[_name].replace(FIRST, EVERY).replace("query_id %", f"query_id // {STEP} %"))(partial(QUERIES[_name], asked=EVERY, step=STEP))
+
+@query(
+    "direct_evidence",
+    f"""{W}, p AS (SELECT t.node_id AS query_id, n.node_id, n.ordinal, n.text FROM nodes t JOIN nodes n ON n.document_id = t.document_id AND (n.node_id = t.node_id OR n.parent_id = t.node_id)
+      WHERE t.type IN ('article', 'clause') AND (t.type = 'clause' OR trim(n.text) <> '')),
+    e AS (SELECT query_id, count(*) AS included, coalesce(string_agg(trim(text), chr(10) ORDER BY ordinal) FILTER (trim(text) <> ''), '') AS text FROM p GROUP BY query_id)
+    SELECT t.node_id AS query_id, coalesce(included, 0) AS included, sha256(coalesce(e.text, '')) AS evidence_sha256, CAST(len(regexp_extract_all(coalesce(e.text, ''), '\\S+')) AS INTEGER) AS tokens,
+      CASE WHEN len(regexp_extract_all(coalesce(e.text, ''), '\\S+')) > {evidence.MAX_TOKENS} THEN 'TOO_LONG' END AS problem
+    FROM nodes t LEFT JOIN e ON e.query_id = t.node_id WHERE t.type IN ('article', 'clause')""",
+)
+def direct_evidence(spark, d):
+    """Each article and each clause is what a citation resolved to."""
+    n = nodes(spark, d)
+    targets = n.where("type <> 'document'").select(F.col("node_id").alias("query_id"), F.lit(0).alias("position"), "document_id", "node_id")
+    titles = n.where("type = 'document'").select("document_id", F.col("document_id").alias("title"))
+    out = evidence.direct(targets, n, titles)
+    return out.select("query_id", F.size("included_ids").cast("long").alias("included"), F.sha2("evidence", 256).alias("evidence_sha256"), "tokens", "problem")

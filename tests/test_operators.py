@@ -205,7 +205,7 @@ def test_global_search_blocks(spark, monkeypatch):
 def test_searches_ask_every_20th_vector(spark, sf):
     import arborlex.queries as registered
 
-    got = registered.QUERIES["dense_top10_every"](spark, sf).groupBy("query_id").count().collect()
+    got = registered.QUERIES["dense_top10"](spark, sf).groupBy("query_id").count().collect()
     assert {r["query_id"] for r in got} == set(range(0, 500, 20)) and {r["count"] for r in got} == {10}
 
 
@@ -245,3 +245,45 @@ def test_aggregate_duplication(spark):
         assert (two["structural_coverage"], two["avg_index_tokens"], two["relevant_token_density"], two["duplicate_node_ratio"], two["duplicate_context_ratio"]) == (0.25, 4.0, 0.1, 0.125, 0.25)
         assert (two["duplicate_token_ratio"], two["duplicate_token_ratio_median"], two["duplicate_token_ratio_p95"]) == (0.1, 0.1, 0.2)
         assert (two["avg_duplicate_token_count"], two["avg_total_component_tokens"], two["unique_source_node_coverage"]) == (2.0, 10.0, 1.5)
+
+
+def test_direct_evidence(spark):
+    rows = [("d", None, "document", 0, ""), ("a7", "d", "article", 1, "Heading\nbody"), ("c1", "a7", "clause", 2, "Clause one"), ("p1", "c1", "point", 3, "a) first"), ("p2", "c1", "point", 4, "b) second"), ("c2", "a7", "clause", 5, " "), ("p3", "c2", "point", 6, "a) other")]
+    tree_ = spark.createDataFrame([("D", i, p, t, o, x) for i, p, t, o, x in rows], "document_id string, node_id string, parent_id string, type string, ordinal long, text string")
+    asked = [("list", 0, "p2"), ("list", 1, "p1"), ("one", 0, "p1"), ("clause", 0, "c1"), ("article", 0, "a7"), ("mixed", 0, "p1"), ("mixed", 1, "c1"), ("split", 0, "p1"), ("split", 1, "p3")]
+    targets = spark.createDataFrame([(q, k, "D", n) for q, k, n in asked], "query_id string, position int, document_id string, node_id string")
+    titles = spark.createDataFrame([("D", "Title")], "document_id string, title string")
+    out = {r["query_id"]: r for r in evidence.direct(targets, tree_, titles).collect()}
+    assert out["list"]["evidence"] == "Title\nHeading\nClause one\nb) second\na) first" and out["list"]["primary_id"] == "p2"
+    assert out["list"]["context_ids"] == ["d", "a7", "c1"] and out["list"]["citation_ids"] == ["p2", "p1"]
+    assert out["one"]["evidence"] == "Title\nHeading\nClause one\na) first"
+    assert out["clause"]["included_ids"] == ["c1", "p1", "p2"] and out["clause"]["context_ids"] == []
+    assert out["article"]["included_ids"] == ["a7", "c1", "p1", "p2", "p3"]
+    assert {q: out[q]["problem"] for q in ("list", "one", "mixed", "split")} == {"list": None, "one": None, "mixed": "NOT_POINTS", "split": "SPLIT_PARENT"}
+    assert evidence.direct(targets, tree_, titles, 3).where("query_id = 'article'").first()["problem"] == "TOO_LONG"
+
+
+def test_citations_in_other_normal_forms(spark):
+    import unicodedata
+
+    df = spark.createDataFrame([(1, unicodedata.normalize("NFD", "Điều 8 khoản 2"))], "query_id int, query string")
+    row = routing.parse(df).first()
+    assert (row["article"], row["clause"]) == ("8", "2")
+
+
+def test_containing_candidates(spark):
+    b = spark.createDataFrame([(1, "ab cd ef gh"), (2, "x"), (3, "not there at all")], "item_id int, query string")
+    d = spark.createDataFrame([(1, "zab cd ef ghz"), (2, "cd ef"), (3, "exit"), (4, None)], "doc_id int, source string")
+    pairs = validate.containing_candidates(b, d).join(b, "item_id").join(d, "doc_id").where(F.contains(F.col("source"), F.col("query")))
+    assert sorted((r["item_id"], r["doc_id"]) for r in pairs.collect()) == [(1, 1), (2, 3)]
+
+
+def test_entry_without_optional_modules(monkeypatch):
+    import sys
+
+    import __spark_entry__
+    import arborlex.queries as registered
+
+    for name in ("arborlex.llm", "arborlex.llm.queries", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(__spark_entry__.queries()) == set(registered.QUERIES)
