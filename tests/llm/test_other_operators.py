@@ -30,13 +30,37 @@ def test_vafile(spark):
 
 def test_bounds():
     rng = np.random.default_rng(2)
-    x = rng.integers(-900, 900, (500, 6))
-    a = vafile.Approximation(x)
-    for _ in range(20):
-        q = rng.integers(-900, 900, 6)
-        low, high = a.bounds(q)
-        assert ((low <= x @ q) & (x @ q <= high)).all()
-    assert vafile.search(x, np.arange(500), a, x[0], 0, 10)[2] < 499  # most exact vectors stay unread
+    for high in (3, 900, 1 << 40, 1 << 61):
+        x = rng.integers(-high, high, (500, 6))
+        cells = vafile.Approximation.of(x)
+        q = rng.integers(-900, 900, (20, 6))
+        exact = x.astype(object) @ q.T.astype(object)
+        low, up = cells.bounds(q)
+        assert all(low[j, i] <= exact[i, j] <= up[j, i] or abs(exact[i, j]) >= 1 << 63 for i in range(500) for j in range(20))
+        reached = np.full((20, 10), -np.inf)
+        place, row, _, _ = vafile.candidates(cells, np.arange(500), q, np.full(20, 7), reached)
+        assert 7 not in row
+        if high < 1 << 61:  # else half of the scores lie beyond the long range and are equal there
+            assert len(row) < 20 * 100  # most exact vectors stay unread
+        for j in range(20):
+            best = sorted((i for i in range(500) if i != 7), key=lambda i: (-exact[i, j], i))[:10]
+            assert set(best) <= set(row[place == j].tolist())
+
+
+def test_vafile_hot_and_huge(spark):
+    """One vector shared by thousands of rows, repeated ids, integers beyond 64 bits, and vectors of length 0."""
+    rows = [(i, [0.5, 0.25]) for i in range(6000)] + [(3, [0.5, 0.25])] * 30 + [(7000, [1e300, -1.0]), (7001, [1e300, 1.0]), (8000, []), (8001, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3, "vec_id")
+    out = {}
+    for r in vafile.top_k(df, df.where("vec_id in (0, 3, 7000, 8000)"), 4).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    top, hot = (1 << 63) - 1, 512 * 512 + 256 * 256
+    huge = [(7000, (1 << 61) * 512 - 1024 * 256), (7001, (1 << 61) * 512 + 1024 * 256)]
+    assert all(s > top for _, s in huge)  # at the end of the long range
+    assert out[0] == [(7000, top), (7001, top), (1, hot), (2, hot)]
+    assert out[3] == [(7000, top), (7001, top), (0, hot), (1, hot)]
+    assert out[7000] == [(0, top), (1, top), (2, top), (3, top)]
+    assert out[8000] == [(8001, 0)]
 
 
 def conversations(spark, marked=0.5):
