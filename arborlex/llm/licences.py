@@ -14,6 +14,7 @@ those named like a new column are replaced.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,11 +147,15 @@ class Scanner:
                     if s2 < s and a2 < a and s - e2 <= MAX_GAP and shift < e - s and best[j][0] + e - s - shift > found[0]:
                         found = (best[j][0] + e - s - shift, best[j][1], max(best[j][2], e - s), j)
                 best.append(found)
-            taken: list[tuple[int, int]] = []
+            starts: list[int] = []  # of the spans taken, which are disjoint
+            ends: list[int] = []
             for covered, s, run, k in sorted(((c, s, r, k) for k, (c, s, r, _) in enumerate(best)), key=lambda x: (-x[0], x[1])):
                 e = own[k][1]
-                if (covered >= MIN_COVER * self.sizes[t] or run >= LONG_RUN) and all(e <= x or s >= y for x, y in taken):
-                    taken.append((s, e))
+                i = bisect.bisect_right(starts, s)
+                free = (i == 0 or ends[i - 1] <= s) and (i == len(starts) or e <= starts[i])
+                if free and (covered >= MIN_COVER * self.sizes[t] or run >= LONG_RUN):
+                    starts.insert(i, s)
+                    ends.insert(i, e)
                     out.append((self.labels[t], s, e, min(1.0, covered / self.sizes[t])))
         return sorted(out, key=lambda x: (x[1], x[2], x[0], x[3]))
 

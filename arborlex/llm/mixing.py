@@ -13,7 +13,7 @@ source's target; of the last ones, those that bring the taken words nearer to it
 The cut is found in two steps, so that no task sees a whole source: sums over LEVELS ranges of the rank value,
 then running sums inside the ranges. No document gets more than max_copies copies.
 
-Null texts have size 0 and are never taken more than a document without words is: such documents take 0 words.
+A null id is no id: the row's number comes from its other columns. Null texts have size 0 and are never taken more than a document without words is: such documents take 0 words.
 A null source is a source of its own. Equal rows are taken together; ties in rank go by id, then by the hash of the
 row. An empty table gives an empty one. The result depends on the rows only.
 Other columns pass through, but for those named like a new column (or _id, _tie, _i, _t), which are dropped.
@@ -67,7 +67,8 @@ def mix(
     documents = documents.drop("size", "source_size", "target", "copies", "taken", "_id", "_tie", "_i", "_t")
     gain = F.coalesce(F.greatest(F.col(importance).cast("double"), F.lit(0.0)), F.lit(1.0)) if importance else F.lit(1.0)
     tie = F.xxhash64(*(F.col(c) for c, t in documents.dtypes if not t.startswith(("map", "variant"))))
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    # rows without id are told apart by their other columns; a hash passes over nulls
+    u = (F.pmod(F.xxhash64(F.when(F.col(id_col).isNull(), tie), F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = documents.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("one"), gain.alias("gain"), u.alias("u"), tie.alias("tie"))
     # equal rows are one unit: all of them are taken as often
     rows = rows.groupBy("_id", "tie").agg(*(F.first(c).alias(c) for c in ("source", "one", "gain", "u")), (F.first("one") * F.count("*")).alias("size"))

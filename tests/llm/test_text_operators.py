@@ -100,6 +100,23 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(twice, (1.0, 2.0)).count() == 2 * docs.count()
 
 
+def test_mixing_without_ids(spark):
+    """Rows without id are drawn apart, not all or none of them; the result does not depend on partitions."""
+    df = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    out = sorted((r["text"], r["copies"]) for r in mixing.mix(df, (1.0,), 0.5).collect())
+    assert sum(c for _, c in out) == 200
+    assert sorted((r["text"], r["copies"]) for r in mixing.mix(df.repartition(5), (1.0,), 0.5).collect()) == out
+
+
+def test_long_text_of_notices():
+    """Hundreds of repeated notices in one text: spans stay disjoint and each notice is found."""
+    text = licences.TEMPLATES[0][1]
+    scanner = licences.Scanner()
+    found = scanner.scan(licences.tokens([" zzz ".join([text] * 300)])[0])
+    own = sorted((x["first"], x["end"]) for x in found["spans"] if x["label"] == licences.TEMPLATES[0][0])
+    assert len(own) >= 300 and all(a[1] <= b[0] for a, b in zip(own, own[1:], strict=False))
+
+
 def test_mixing_prefers_importance(spark):
     rows = [(i, "w w w w", "s", 9.0 if i % 2 else 1.0) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
