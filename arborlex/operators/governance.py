@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,3 +148,82 @@ def review_metrics(reviews: DataFrame, by: str) -> DataFrame:
     """(by, n, precision, missing): reviews with booleans correct and missed."""
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
     return reviews.groupBy(by).agg(F.count("*").alias("n"), share("correct").alias("precision"), share("missed").alias("missing"))
+
+
+#: Kinds of reviewed rows.
+ENTITY, RELATION, COVERAGE = "entity", "relationship", "article_coverage"
+
+
+def extraction_quality(reviews: DataFrame, by: str) -> DataFrame:
+    """reviews: (by, kind, verdict, direction_correct, source_valid, mapping_valid, missing_relation), the last four
+    'true' in any case or else false. One row per provider; a share of nothing is 0."""
+    true = lambda c: F.coalesce(F.lower(c) == "true", F.lit(False))
+    good = F.coalesce(F.col("verdict") == "correct", F.lit(False))
+    kind = lambda *ks: F.col("kind").isin(*ks)
+    share = lambda of, what: F.round(F.coalesce(F.try_divide(F.count_if(of & what), F.count_if(of)), F.lit(0.0)), 9)
+    both = kind(ENTITY, RELATION)
+    return reviews.groupBy(by).agg(
+        share(kind(ENTITY), good).alias("entity_precision"),
+        share(kind(RELATION), good).alias("relationship_precision"),
+        share(kind(RELATION), true("direction_correct")).alias("direction_accuracy"),
+        share(both, true("source_valid")).alias("source_accuracy"),
+        share(both, true("mapping_valid")).alias("mapping_accuracy"),
+        share(kind(COVERAGE), true("missing_relation")).alias("missing_rate"),
+        F.count_if(kind(RELATION) & good).alias("accepted_edges"),
+        F.count_if(F.col("verdict") == "benchmark_issue").alias("benchmark_issues"),
+        F.count("*").alias("reviews"),
+    )
+
+
+def select_provider(quality: DataFrame, gates: dict[str, float], delta: float, by: str = "provider", favoured: str = "") -> DataFrame:
+    """quality: extraction_quality with failures, cost_per_edge and latency. Adds passed and winner. A provider passes without
+    failures and benchmark issues, at or above each gate, and at or below missing_rate's. Among those less than delta below
+    the best relationship precision the cheapest edge wins, then entity precision, latency, the favoured one, the name."""
+    ok = (F.col("failures") == 0) & (F.col("benchmark_issues") == 0)
+    for name, limit in gates.items():
+        ok = ok & (F.col(name) <= limit if name == "missing_rate" else F.col(name) >= limit)
+    everything = Window.partitionBy(F.lit(1))  # one row per provider
+    best = F.max(F.when(F.col("passed"), F.col("relationship_precision"))).over(everything)
+    near = F.col("passed") & (F.round(F.col("best") - F.col("relationship_precision"), 9) < delta)
+    order = F.struct("cost_per_edge", (-F.col("entity_precision")).alias("e"), "latency", (F.col(by) != favoured).alias("f"), by)
+    rows = quality.withColumn("passed", F.coalesce(ok, F.lit(False))).withColumn("best", best).withColumn("order", F.when(near, order))
+    return rows.withColumn("winner", F.coalesce(F.col("order") == F.min("order").over(everything), F.lit(False))).drop("best", "order")
+
+
+def release_health(releases: DataFrame, passages: DataFrame, embeddings: DataFrame, model: str, revision: str, count: int, lock: str | None = None) -> DataFrame:
+    """One row (active, dataset_id, passages, embeddings, lock_match, ready): exactly one ACTIVE release (dataset_id, state, model,
+    revision, lock), of the wanted model and counts; lock: its hash, null where no match is asked for. Without exactly one, ids and
+    counts are null and nothing is ready."""
+    one = releases.where("state = 'ACTIVE'").agg(F.count("*").alias("active"), F.max(F.struct("dataset_id", "model", "revision", "lock")).alias("r"))
+    one = one.withColumn("dataset_id", F.when(F.col("active") == 1, F.col("r.dataset_id")))
+    counted = lambda df, name: df.groupBy("dataset_id").agg(F.count("*").alias(name))
+    out = one.join(counted(passages, "passages"), "dataset_id", "left").join(counted(embeddings.where("status = 'READY'"), "embeddings"), "dataset_id", "left")
+    n = lambda c: F.when(F.col("dataset_id").isNotNull(), F.coalesce(c, F.lit(0)))
+    match = F.lit(True) if lock is None else F.col("r.lock").eqNullSafe(F.lit(lock))
+    out = out.select("active", "dataset_id", n("passages").alias("passages"), n("embeddings").alias("embeddings"), (match & F.col("dataset_id").isNotNull()).alias("lock_match"), "r")
+    good = (F.col("r.model") == model) & (F.col("r.revision") == revision) & (F.col("passages") == count) & (F.col("embeddings") == count) & F.col("lock_match")
+    return out.withColumn("ready", F.coalesce(good, F.lit(False))).drop("r")
+
+
+def apply_reviews(dataset: DataFrame, review: DataFrame, key: str, fixed: list[str], changed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The dataset with the columns in `changed` as reviewed (null keeps the old value) and review_status in lower case,
+    'draft' without one; and (key, code): MISSING, EXTRA or TWICE rows, and FIXED_CHANGED where an immutable column differs.
+    Nothing is applied while there is an issue: then the dataset comes back as it was."""
+    issues = reconcile(dataset, review, key)
+    r = review.select(key, *[F.col(c).alias(f"_{c}") for c in (*fixed, *changed, "review_status")])
+    moved = [F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").eqNullSafe(F.col(c)) for c in fixed]
+    if moved:
+        issues = issues.unionByName(dataset.join(r, key).where(reduce(lambda a, b: a | b, moved)).select(key, F.lit("FIXED_CHANGED").alias("code")))
+    fine = issues.agg((F.count("*") == 0).alias("_fine"))
+    # one row: whether there is an issue at all. Repeated reviews are an issue, so that none may multiply rows
+    j = dataset.join(last_wins(r, key, key), key, "left").crossJoin(F.broadcast(fine))
+    new = {c: F.when(F.col("_fine"), F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in changed}
+    status = F.when(F.col("_fine"), F.coalesce(F.lower(F.trim("_review_status")), F.lit("draft"))).otherwise(F.col("review_status"))
+    return j.withColumns({**new, "review_status": status}).select(*dataset.columns), issues
+
+
+def migration_state(applied: DataFrame, files: DataFrame) -> DataFrame:
+    """applied and files: (name, checksum). (name, state): APPLIED, PENDING, CHANGED since it was applied, or GONE."""
+    j = files.join(applied.select("name", F.col("checksum").alias("was")), "name", "full")
+    state = F.when(F.col("checksum").isNull(), "GONE").when(F.col("was").isNull(), "PENDING").when(F.col("was") != F.col("checksum"), "CHANGED").otherwise("APPLIED")
+    return j.select("name", state.alias("state"))

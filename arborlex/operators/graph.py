@@ -136,6 +136,36 @@ def semantic(extracted: DataFrame, texts: DataFrame, nodes: DataFrame, relations
     return merged, rows.where("reason is not null").select("row", "reason")
 
 
+def semantic_entities(extracted: DataFrame, texts: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
+    """extracted: (article_id, row, local_key, kind, label, aliases, provenance (node_id, evidence)); texts: (article_id,
+    node_id, text). Rows count in the order of `row` within an article.
+
+    Entities (article_id, kind, label, aliases, provenance (node_id, start, end)), equal ones merged; and rejected
+    (article_id, row, reason): UNKNOWN_ENTITY_TYPE, one of CROSS_ARTICLE_PROVENANCE and EVIDENCE_NOT_IN_CANONICAL_TEXT
+    for each place that does not hold, NO_VALID_PROVENANCE where none does, and DUPLICATE_LOCAL_KEY where an earlier
+    entity has the key and another kind or label."""
+    keys = ["article_id", "row"]
+    known = F.col("kind").isin(types)
+    unknown = extracted.where(~known).select(*keys, F.lit("UNKNOWN_ENTITY_TYPE").alias("reason"))
+    rows = extracted.where(known)
+    places = rows.select(*keys, F.posexplode("provenance").alias("at", "p")).select(*keys, "at", "p.node_id", "p.evidence")
+    places = places.join(texts.select("article_id", "node_id", "text"), ["article_id", "node_id"], "left").withColumn("start", F.instr("text", F.col("evidence")) - 1)
+    problem = F.when(F.col("text").isNull(), "CROSS_ARTICLE_PROVENANCE").when(F.col("start") < 0, "EVIDENCE_NOT_IN_CANONICAL_TEXT")
+    places = places.withColumn("reason", problem)
+    place = F.struct("at", "node_id", "start", (F.col("start") + F.char_length("evidence")).alias("end"))
+    held = places.where("reason is null").groupBy(*keys).agg(F.array_sort(F.collect_list(place)).alias("held"))
+    rows = rows.join(held, keys, "left")
+    bare = rows.where("held is null").select(*keys, F.lit("NO_VALID_PROVENANCE").alias("reason"))
+    first = F.first(F.struct("kind", "label")).over(Window.partitionBy("article_id", "local_key").orderBy("row"))
+    rows = rows.where("held is not null").withColumn("same", F.struct("kind", "label") == first)
+    twice = rows.where("not same").select(*keys, F.lit("DUPLICATE_LOCAL_KEY").alias("reason"))
+    listed = rows.where("same").groupBy("article_id", "kind", "label").agg(F.array_sort(F.collect_list(F.struct("row", "aliases", "held"))).alias("r"))
+    flat = lambda c: F.array_distinct(F.flatten(F.transform("r", lambda x: x[c])))
+    spots = F.array_distinct(F.transform(flat("held"), lambda x: F.struct(x["node_id"].alias("node_id"), x["start"].alias("start"), x["end"].alias("end"))))
+    rejected = unknown.unionByName(places.where("reason is not null").select(*keys, "reason")).unionByName(bare).unionByName(twice)
+    return listed.select("article_id", "kind", "label", flat("aliases").alias("aliases"), spots.alias("provenance")), rejected
+
+
 #: Allowed changes of a release's state.
 TRANSITIONS = (("BUILDING", "VALIDATING"), ("VALIDATING", "READY"), ("READY", "ACTIVE"), ("ACTIVE", "RETIRED"), ("RETIRED", "ACTIVE"))
 

@@ -27,6 +27,40 @@ def ranked(rows: DataFrame, by: list[str] | None = None, id_col: str = "strategy
     return rows.withColumn("place", F.row_number().over(w))
 
 
+def challenger(rows: DataFrame, id_col: str = "strategy", up: tuple[str, ...] = MAXIMISE, down: tuple[str, ...] = MINIMISE) -> DataFrame:
+    """(winner, challenger): the best row, and the next best of the frontier; without one there, the second in rank."""
+    front = pareto_frontier(rows, id_col, up, down).select(id_col, F.lit(True).alias("front"))
+    placed = ranked(rows, None, id_col, up, down).join(front, id_col, "left")
+    next_ = F.min(F.when(F.col("place") > 1, F.struct(F.col("front").isNull().alias("x"), "place", F.col(id_col).alias("id"))))
+    return placed.agg(F.min(F.when(F.col("place") == 1, F.col(id_col))).alias("winner"), next_.getField("id").alias("challenger")).where("winner is not null")
+
+
+def second_round(runs: DataFrame, base: str, candidates: list[str], top: int = 3, gain: float = 0.03, loss: float = 0.02, retrievers: int = 2) -> DataFrame:
+    """runs: (strategy, retriever, recall, evidence). One row (in_top, by_evidence, triggered): a candidate is among the
+    `top` strategies by mean recall, or gains `gain` of evidence over the base for a recall loss of `loss` at most. Strategies
+    that lack a retriever do not take part; equal recalls go by name."""
+    means = runs.groupBy("strategy").agg(F.countDistinct("retriever").alias("n"), F.round(F.avg("recall"), 9).alias("recall"), F.round(F.avg("evidence"), 9).alias("evidence")).where(F.col("n") >= retrievers)
+    # one row per strategy
+    placed = means.withColumn("place", F.row_number().over(Window.orderBy(F.col("recall").desc(), "strategy")))
+    is_base, mine = F.col("strategy") == base, F.col("strategy").isin(candidates)
+    b = F.max(F.when(is_base, F.struct("recall", "evidence"))).over(Window.partitionBy(F.lit(1)))
+    joined = placed.withColumn("b", b)
+    better = F.round(F.col("evidence") - F.col("b.evidence"), 9) >= gain
+    close = F.round(F.col("b.recall") - F.col("recall"), 9) <= loss
+    tests = joined.agg(F.bool_or(mine & (F.col("place") <= top)).alias("in_top"), F.bool_or(mine & better & close).alias("by_evidence"))
+    tests = tests.select(*[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_top", "by_evidence")])
+    return tests.withColumn("triggered", F.col("in_top") | F.col("by_evidence"))
+
+
+def release_candidate(runs: DataFrame, id_col: str = "strategy", up: tuple[str, ...] = MAXIMISE, down: tuple[str, ...] = MINIMISE) -> DataFrame:
+    """runs: one row per strategy and retriever. The best strategy by mean metrics; of equal ones the one whose id comes
+    first by code points, a longer id before its own beginning."""
+    means = runs.groupBy(id_col).agg(*[F.round(F.avg(c), 9).alias(c) for c in (*up, *down)])
+    negated = F.transform(F.split(F.col(id_col), ""), lambda c: -F.ascii(c))
+    order = [*[F.col(c).desc() for c in up], *[F.col(c) for c in down], negated.desc()]
+    return means.orderBy(*order).limit(1)
+
+
 def gate_failures(rows: DataFrame, base: str, gates: dict[str, tuple[str, float]], id_col: str = "strategy") -> DataFrame:
     """(id, failures): gates by metric: ("gain", least absolute gain), ("ratio", largest multiple) or ("rise", largest rise)."""
     metrics = list(gates)

@@ -61,6 +61,21 @@ def is_ancestor(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(closure(nodes).where("distance > 0").drop("distance"), ["document_id", "ancestor_id", "node_id"], "left_semi")
 
 
+def typed_targets(edges: DataFrame, relation: str, reverse: bool = False) -> DataFrame:
+    """edges: (position, source_id, target_id, relation). (node_id, found_ids) in the order of edges: what nodes refer to or
+    amend, or, reversed, what repeals them."""
+    here, there = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+    own = edges.where(F.col("relation") == relation).groupBy(F.col(here).alias("node_id"))
+    return own.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.col(there).alias("id")))), lambda x: x["id"]).alias("found_ids"))
+
+
+def required_with_children(targets: DataFrame, nodes: DataFrame, kind: str = "point") -> DataFrame:
+    """targets: (document_id, node_id). Adds required_ids: the node itself, then its children of that type in order."""
+    below = children(nodes.where(F.col("type") == kind))
+    rest = F.coalesce("children_ids", F.array().cast("array<string>"))
+    return targets.join(below, ["document_id", "node_id"], "left").withColumn("required_ids", F.concat(F.array("node_id"), rest)).drop("children_ids")
+
+
 def leaf_targets(nodes: DataFrame) -> DataFrame:
     """Points, clauses without points and articles without clauses, with their own columns."""
     parents = lambda kind: nodes.where(F.col("type") == kind).select("document_id", F.col("parent_id").alias("node_id")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arborlex.functions import text as X
 from arborlex.operators import bm25, dense, evidence, fusion, graph, metrics, parsing, passages, routing, selection, tree, validate
 from arborlex.plans.tables import NODES_SQL, nodes, table
+from arborlex.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -874,3 +875,142 @@ def direct_evidence(spark, d):
     titles = n.where("type = 'document'").select("document_id", F.col("document_id").alias("title"))
     out = evidence.direct(targets, n, titles)
     return out.select("query_id", F.size("included_ids").cast("long").alias("included"), F.sha2("evidence", 256).alias("evidence_sha256"), "tokens", "problem")
+
+
+# ---- rounds, providers, releases --------------------------------------------------------------------------------
+
+_RUNS = "r AS (SELECT source AS strategy, doc_id % 2 AS retriever, avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS recall, avg(n_chars) / 1000 AS evidence FROM documents GROUP BY ALL)"
+
+
+def runs(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "n_chars").groupBy(F.col("source").alias("strategy"), (F.col("doc_id") % 2).alias("retriever"))
+    return docs.agg(F.avg(F.when(F.col("lang") == "en", 1.0).otherwise(0.0)).alias("recall"), (F.avg("n_chars") / 1000).alias("evidence"))
+
+
+@query(
+    "second_round",
+    f"""WITH {_RUNS}, m AS (SELECT strategy, round(avg(recall), 9) AS recall, round(avg(evidence), 9) AS evidence FROM r GROUP BY 1 HAVING count(DISTINCT retriever) >= 2),
+    p AS (SELECT *, row_number() OVER (ORDER BY recall DESC, strategy) AS place FROM m), b AS (SELECT * FROM m WHERE strategy = 'src0'),
+    t AS (SELECT coalesce(bool_or(p.place <= 3), false) AS in_top, coalesce(bool_or(round(p.evidence - b.evidence, 9) >= 0.03 AND round(b.recall - p.recall, 9) <= 0.02), false) AS by_evidence FROM p LEFT JOIN b ON true WHERE p.strategy IN ('src1', 'src2'))
+    SELECT *, in_top OR by_evidence AS triggered FROM t""",
+)
+def second_round(spark, d):
+    return selection.second_round(runs(spark, d), "src0", ["src1", "src2"])
+
+
+@query(
+    "challenger",
+    f"""WITH {_STRATEGIES}, f AS (SELECT strategy FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.strategy <> a.strategy AND b.recall >= a.recall AND b.mrr >= a.mrr AND b.evidence >= a.evidence AND b.tokens <= a.tokens AND b.duplicates <= a.duplicates AND (b.recall > a.recall OR b.mrr > a.mrr OR b.evidence > a.evidence OR b.tokens < a.tokens OR b.duplicates < a.duplicates))),
+    p AS (SELECT strategy, row_number() OVER (ORDER BY recall DESC, mrr DESC, evidence DESC, tokens, duplicates, strategy) AS place FROM s)
+    SELECT (SELECT strategy FROM p WHERE place = 1) AS winner, (SELECT strategy FROM p WHERE place > 1 ORDER BY strategy NOT IN (SELECT strategy FROM f), place LIMIT 1) AS challenger""",
+)
+def challenger(spark, d):
+    return selection.challenger(strategies(spark, d))
+
+
+@query("release_candidate", f"WITH {_STRATEGIES} SELECT strategy, recall, tokens FROM s ORDER BY recall DESC, mrr DESC, evidence DESC, tokens, duplicates, list_transform(string_split(strategy, ''), lambda x: -unicode(x)) DESC LIMIT 1")
+def release_candidate(spark, d):
+    return selection.release_candidate(strategies(spark, d)).select("strategy", "recall", "tokens")
+
+
+_REVIEWS = """r AS (SELECT lang AS provider, CASE doc_id % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'relationship' ELSE 'article_coverage' END AS kind, CASE WHEN doc_id % 7 = 0 THEN 'wrong' ELSE 'correct' END AS verdict,
+  n_chars % 5 <> 0 AS direction, n_chars % 11 <> 0 AS source_valid, true AS mapping, doc_id % 13 = 2 AS missing FROM documents)"""
+
+
+def extraction_reviews(spark, d):
+    docs, k = table(spark, d, "documents", "doc_id", "lang", "n_chars"), F.col("doc_id")
+    text = lambda c: F.when(c, F.lit("True")).otherwise(F.lit("false"))
+    kind = F.when(k % 3 == 0, "entity").when(k % 3 == 1, "relationship").otherwise("article_coverage")
+    return docs.select(
+        F.col("lang").alias("provider"), kind.alias("kind"), F.when(k % 7 == 0, "wrong").otherwise("correct").alias("verdict"), text(F.col("n_chars") % 5 != 0).alias("direction_correct"),
+        text(F.col("n_chars") % 11 != 0).alias("source_valid"), F.lit("TRUE").alias("mapping_valid"), text(k % 13 == 2).alias("missing_relation"),
+    )
+
+
+@query(
+    "provider_selection",
+    f"""WITH {_REVIEWS}, q AS (SELECT provider, round(coalesce(count(*) FILTER (kind = 'entity' AND verdict = 'correct') / nullif(count(*) FILTER (kind = 'entity'), 0), 0), 9) AS entity_precision,
+      round(coalesce(count(*) FILTER (kind = 'relationship' AND verdict = 'correct') / nullif(count(*) FILTER (kind = 'relationship'), 0), 0), 9) AS relationship_precision,
+      round(coalesce(count(*) FILTER (kind = 'relationship' AND direction) / nullif(count(*) FILTER (kind = 'relationship'), 0), 0), 9) AS direction_accuracy,
+      round(coalesce(count(*) FILTER (kind <> 'article_coverage' AND source_valid) / nullif(count(*) FILTER (kind <> 'article_coverage'), 0), 0), 9) AS source_accuracy,
+      round(coalesce(count(*) FILTER (kind = 'article_coverage' AND missing) / nullif(count(*) FILTER (kind = 'article_coverage'), 0), 0), 9) AS missing_rate,
+      count(*) FILTER (kind = 'relationship' AND verdict = 'correct') AS accepted_edges, count(*) AS reviews FROM r GROUP BY provider),
+    g AS (SELECT *, entity_precision >= 0.8 AND relationship_precision >= 0.8 AND missing_rate <= 0.3 AS passed FROM q),
+    n AS (SELECT *, passed AND round(max(relationship_precision) FILTER (passed) OVER () - relationship_precision, 9) < 0.05 AS near FROM g)
+    SELECT provider, entity_precision, relationship_precision, direction_accuracy, source_accuracy, missing_rate, accepted_edges, reviews, passed,
+      near AND row_number() OVER (ORDER BY near DESC, reviews / accepted_edges, entity_precision DESC, provider) = 1 AS winner FROM n""",
+)
+def provider_selection(spark, d):
+    q = gov.extraction_quality(extraction_reviews(spark, d), "provider")
+    q = q.withColumns({"failures": F.lit(0), "cost_per_edge": F.try_divide(F.col("reviews"), F.col("accepted_edges")), "latency": F.lit(1.0)})
+    gates = {"mapping_accuracy": 1.0, "entity_precision": 0.8, "relationship_precision": 0.8, "missing_rate": 0.3}
+    out = gov.select_provider(q, gates, 0.05)
+    return out.select("provider", "entity_precision", "relationship_precision", "direction_accuracy", "source_accuracy", "missing_rate", "accepted_edges", "reviews", "passed", "winner")
+
+
+@query("release_health", "SELECT CAST(1 AS BIGINT) AS active, 'src0' AS dataset_id, count(*) AS passages, count(*) FILTER (lang <> 'de') AS embeddings, true AS lock_match, count(*) = 100 AND count(*) FILTER (lang <> 'de') = 100 AS ready FROM documents WHERE source = 'src0'")
+def release_health(spark, d):
+    docs = table(spark, d, "documents", "source", "lang").select(F.col("source").alias("dataset_id"), F.when(F.col("lang") != "de", "READY").otherwise("STALE").alias("status"))
+    releases = docs.select("dataset_id").distinct().select("dataset_id", F.when(F.col("dataset_id") == "src0", "ACTIVE").otherwise("RETIRED").alias("state"), F.lit("m").alias("model"), F.lit("1").alias("revision"), F.lit("x").alias("lock"))
+    return gov.release_health(releases, docs, docs, "m", "1", 100, "x")
+
+
+@query("applied_reviews", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE source END AS source, CASE WHEN doc_id % 4 = 0 THEN 'draft' ELSE 'approved' END AS review_status FROM documents")
+def applied_reviews(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "lang", "source").withColumn("review_status", F.lit("draft"))
+    review = docs.select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, F.upper("source")).alias("source"), F.when(F.col("doc_id") % 4 != 0, " Approved ").alias("review_status"))
+    return gov.apply_reviews(docs, review, "doc_id", ["lang"], ["source"])[0].select("doc_id", "source", "review_status")
+
+
+@query("migration_state", "SELECT source AS name, CASE WHEN max(doc_id) % 4 = 0 THEN 'PENDING' WHEN max(doc_id) % 4 = 1 THEN 'CHANGED' WHEN max(doc_id) % 4 = 2 THEN 'GONE' ELSE 'APPLIED' END AS state FROM documents GROUP BY source")
+def migration_state(spark, d):
+    rows = table(spark, d, "documents", "doc_id", "source").groupBy(F.col("source").alias("name")).agg((F.max("doc_id") % 4).alias("k"))
+    applied = rows.where("k <> 0").select("name", F.when(F.col("k") == 1, "old").otherwise("new").alias("checksum"))
+    return gov.migration_state(applied, rows.where("k <> 2").select("name", F.lit("new").alias("checksum")))
+
+
+@query("regression_snapshot", "SELECT doc_id, lang, sha256(text) AS index_text_hash, sha256(lang) AS evidence_text_hash FROM documents")
+def regression_snapshot(spark, d):
+    return files.snapshot(table(spark, d, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.col("text").alias("index_text"), F.col("lang").alias("evidence_text")))
+
+
+@query("markdown_report", "SELECT unnest([1, 2, 3, 4]) AS line_no, unnest(['# Languages', '', '| lang | n |', '| --- | --- |']) AS value UNION ALL SELECT CAST(row_number() OVER (ORDER BY lang, count(*)) + 4 AS INTEGER), '| ' || lang || ' | ' || count(*) || ' |' FROM documents GROUP BY lang")
+def markdown_report(spark, d):
+    return files.markdown(table(spark, d, "documents", "lang").groupBy("lang").agg(F.count("*").alias("n")), "Languages")
+
+
+# ---- typed edges, required nodes, extracted entities ------------------------------------------------------------
+
+
+@query("repealed_by", f"{W} SELECT parent_id AS node_id, string_agg(node_id, ',' ORDER BY ordinal) AS found FROM nodes WHERE parent_id IS NOT NULL AND key % 3 = 0 GROUP BY parent_id")
+def repealed_by(spark, d):
+    """Each node amends, refers to or repeals the one above it, by its number."""
+    relation = F.when(F.col("key") % 3 == 0, "REPEALS").when(F.col("key") % 3 == 1, "AMENDS").otherwise("REFERENCES")
+    edges = nodes(spark, d).where("parent_id is not null").select(F.col("ordinal").alias("position"), F.col("node_id").alias("source_id"), F.col("parent_id").alias("target_id"), relation.alias("relation"))
+    return tree.typed_targets(edges, "REPEALS", reverse=True).select("node_id", F.array_join("found_ids", ",").alias("found"))
+
+
+@query("required_nodes", f"{W} SELECT a.node_id, concat_ws(',', a.node_id, string_agg(c.node_id, ',' ORDER BY c.ordinal)) AS required FROM nodes a LEFT JOIN nodes c ON c.parent_id = a.node_id AND c.type = 'clause' WHERE a.type = 'article' GROUP BY a.node_id")
+def required_nodes(spark, d):
+    n = nodes(spark, d)
+    return tree.required_with_children(n.where("type = 'article'").select("document_id", "node_id"), n, "clause").select("node_id", F.array_join("required_ids", ",").alias("required"))
+
+
+@query(
+    "semantic_entities",
+    """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'UNKNOWN_ENTITY_TYPE' WHEN doc_id % 5 = 0 THEN 'CROSS_ARTICLE_PROVENANCE' WHEN doc_id % 4 = 0 THEN 'EVIDENCE_NOT_IN_CANONICAL_TEXT' WHEN doc_id % 3 = 0 THEN 'DUPLICATE_LOCAL_KEY' END AS reason FROM documents)
+    SELECT 'D' || doc_id AS article_id, 2 AS row, reason FROM r WHERE reason IS NOT NULL
+    UNION ALL SELECT 'D' || doc_id, 2, 'NO_VALID_PROVENANCE' FROM r WHERE reason IN ('CROSS_ARTICLE_PROVENANCE', 'EVIDENCE_NOT_IN_CANONICAL_TEXT')
+    UNION ALL SELECT 'D' || doc_id, 1, 'ACCEPTED ' || CASE WHEN reason IS NULL THEN 2 ELSE 1 END FROM r""",
+)
+def semantic_entities(spark, d):
+    """Two entities a document, under one key: the second has an unknown type, a place that does not hold, or another label."""
+    docs, k, me = table(spark, d, "documents", "doc_id", "text", "lang"), F.col("doc_id"), F.concat(F.lit("D"), "doc_id")
+    two = F.col("row") == 2
+    place = F.struct(F.when(two & (k % 5 == 0), "elsewhere").otherwise(me).alias("node_id"), F.when(two & (k % 4 == 0), "\u0001 nowhere").otherwise(F.substring("text", 1, 12)).alias("evidence"))
+    rows = docs.withColumn("row", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        me.alias("article_id"), "row", F.lit("k").alias("local_key"), F.when(two & (k % 7 == 0), "THING").otherwise("TERM").alias("kind"), F.when(two & (k % 3 == 0), "other").otherwise(F.col("lang")).alias("label"),
+        F.array(F.concat(F.lit("alias "), F.col("row").cast("string"))).alias("aliases"), F.array(place).alias("provenance"),
+    )
+    good, bad = graph.semantic_entities(rows, docs.select(me.alias("article_id"), me.alias("node_id"), "text"), ["TERM"])
+    return bad.unionByName(good.select("article_id", F.lit(1).alias("row"), F.concat(F.lit("ACCEPTED "), F.size("aliases").cast("string")).alias("reason")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,33 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.option("ignoreNullFields", "false").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """One object a file, over as many lines as it likes."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A report's one row as JSON of sorted keys, indented by two, into a folder that every worker reaches."""
+    text = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    text.coalesce(1).write.text(path)
+
+
+def markdown(df: DataFrame, title: str) -> DataFrame:
+    """(line_no, value): a report of a summary's rows as a Markdown table, in the order of its columns' values."""
+    cell = lambda c: F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(""))
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    # a summary's rows, few by nature
+    body = df.select(*df.columns, row(*map(cell, df.columns)).alias("value")).withColumn("line_no", F.row_number().over(Window.orderBy(*df.columns)) + 4)
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    lines = df.sparkSession.createDataFrame([(k + 1, v) for k, v in enumerate(head)], "line_no int, value string")
+    return lines.unionByName(body.select("line_no", "value"))
+
+
+def snapshot(passages: DataFrame) -> DataFrame:
+    """What a regression run compares: every column, with texts (names ending in _text) as hashes."""
+    return passages.select(*[F.sha2(c, 256).alias(f"{c}_hash") if c.endswith("_text") else F.col(c) for c in passages.columns])
+
+
 def sheet(df: DataFrame) -> DataFrame:
     """Columns as a review sheet has them: lists of strings joined by |, other nested values as JSON."""
     out = []
