@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlex.functions import text as X
-from arborlex.operators import bm25, dense, evidence, fusion, graph, metrics, parsing, passages, routing, selection, tree, validate
+from arborlex.operators import bm25, dense, evidence, fusion, governance, graph, metrics, parsing, passages, routing, selection, tree, validate
 from arborlex.sources import files
 
 NODES = "document_id string, node_id string, parent_id string, type string, ordinal long, key int, text string"
@@ -287,3 +287,58 @@ def test_entry_without_optional_modules(monkeypatch):
     for name in ("arborlex.llm", "arborlex.llm.queries", "corpus_pipeline"):
         monkeypatch.setitem(sys.modules, name, None)
     assert set(__spark_entry__.queries()) == set(registered.QUERIES)
+
+
+def test_apply_reviews_all_or_nothing(spark):
+    """One changed immutable column, one missing and one repeated row: nothing is applied."""
+    data = spark.createDataFrame([(1, "a", "q1", "draft"), (2, "a", "q2", "draft")], "id int, split string, query string, review_status string")
+    review = "id int, split string, query string, review_status string"
+    good = spark.createDataFrame([(1, "a", "new", " Approved "), (2, None, None, None)], review)
+    done, issues = governance.apply_reviews(data, good, "id", ["split"], ["query"])
+    assert issues.count() == 0 and sorted(map(tuple, done.collect())) == [(1, "a", "new", "approved"), (2, "a", "q2", "draft")]
+    for rows, codes in ([(1, "b", "new", "x"), (2, "a", None, None)], ["FIXED_CHANGED"]), ([(1, "a", "new", "x")], ["MISSING"]), ([(1, "a", "n", "x"), (1, "a", "m", "x"), (2, "a", "q", "x"), (3, "a", "q", "x")], ["EXTRA", "TWICE"]):
+        done, issues = governance.apply_reviews(data, spark.createDataFrame(rows, review), "id", ["split"], ["query"])
+        assert sorted(r["code"] for r in issues.collect()) == codes
+        assert sorted(map(tuple, done.collect())) == sorted(map(tuple, data.collect()))
+
+
+def test_release_candidate_ties(spark):
+    """Equal metrics: the first id by code points, a longer id before its own beginning."""
+    rows = [(s, 1.0, 1.0, 1.0, 5.0, 0.0) for s in ("B6", "B4", "B4e", "B4a") for _ in range(2)]
+    df = spark.createDataFrame(rows, "strategy string, recall double, mrr double, evidence double, tokens double, duplicates double")
+    assert one(selection.release_candidate(df), "strategy") == "B4a"
+    assert one(selection.release_candidate(df.where("strategy in ('B4', 'B4e')")), "strategy") == "B4e"
+
+
+def test_second_round(spark):
+    rows = [(s, r, recall, ev) for s, recall, ev in (("B0", 0.9, 0.5), ("B1", 0.8, 0.5), ("B2", 0.7, 0.5), ("B3", 0.60, 0.50), ("B4", 0.58, 0.53), ("B5", 0.57, 0.9)) for r in ("bm25", "dense")]
+    df = spark.createDataFrame(rows, "strategy string, retriever string, recall double, evidence double")
+    assert tuple(selection.second_round(df, "B3", ["B4", "B5"]).first()) == (False, True, True)
+    assert tuple(selection.second_round(df, "B3", ["B5"]).first()) == (False, False, False)
+    assert tuple(selection.second_round(df, "B3", ["B2"]).first()) == (True, False, True)
+    assert tuple(selection.second_round(df.limit(0), "B3", ["B2"]).first()) == (False, False, False)
+
+
+def test_provider_gates(spark):
+    schema = "provider string, entity_precision double, relationship_precision double, missing_rate double, failures int, benchmark_issues int, cost_per_edge double, latency double"
+    rows = [("a", 0.9, 0.95, 0.1, 0, 0, 3.0, 1.0), ("b", 0.9, 0.93, 0.1, 0, 0, 2.0, 1.0), ("c", 0.9, 0.80, 0.1, 0, 0, 1.0, 1.0), ("d", 0.9, 0.99, 0.1, 1, 0, 0.5, 1.0)]
+    out = governance.select_provider(spark.createDataFrame(rows, schema), {"entity_precision": 0.8, "missing_rate": 0.2}, 0.05)
+    assert sorted((r["provider"], r["passed"], r["winner"]) for r in out.collect()) == [("a", True, False), ("b", True, True), ("c", True, False), ("d", False, False)]
+
+
+def test_release_health_needs_one_active(spark):
+    schema = "dataset_id string, state string, model string, revision string, lock string"
+    rows = spark.createDataFrame([("x", "p")] * 2, "dataset_id string, id string").withColumn("status", F.lit("READY"))
+    check = lambda states, lock=None: governance.release_health(spark.createDataFrame([(k, s, "m", "1", "l") for k, s in states], schema), rows, rows, "m", "1", 2, lock).first()
+    assert check([("x", "ACTIVE"), ("y", "RETIRED")])["ready"] and not check([("x", "ACTIVE")], "other")["ready"]
+    for states in ([("x", "READY")], [("x", "ACTIVE"), ("y", "ACTIVE")]):
+        out = check(states)
+        assert not out["ready"] and out["dataset_id"] is None
+
+
+def test_json_and_markdown(spark, tmp_path):
+    df = spark.createDataFrame([("v|w\nx", None, 3)], "b string, a string, n int")
+    files.write_json(df, str(tmp_path / "j"))
+    assert [tuple(r) for r in files.read_json(spark, str(tmp_path / "j"), "b string, a string, n int").collect()] == [("v|w\nx", None, 3)]
+    lines = [r["value"] for r in files.markdown(df, "T").orderBy("line_no").collect()]
+    assert lines == ["# T", "", "| b | a | n |", "| --- | --- | --- |", "| v\\|w x |  | 3 |"]
