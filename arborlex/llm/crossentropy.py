@@ -6,6 +6,10 @@ probability is its bigram count with Dirichlet smoothing towards the add-DELTA u
 word and words after an unknown one have the unigram estimate. The score is the mean target loss less the mean
 background loss, in nats: the lower, the more like the target.
 
+With without_own a document is scored by all others: its own words and pairs are taken out of the counts of the models
+that hold it, so that what it has in common with no other document does not speak for it, and a document that occurs
+twice is known by its copy. The vocabulary stays that of all documents.
+
 Counts are exact over all whole documents and are never gathered in one place: each shard counts its own words and
 pairs, buckets add them up over shards and send each shard the counts of what it asked for. What a task holds follows
 its shard or bucket, not the corpus. Only five totals reach the driver.
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import U64, column_bytes, drop, materialise, mix64, slices, tidy, words
+from .core import U64, column_bytes, materialise, mix64, slices, tidy, words
 from .shards import bucket_cuts, pack, unpack
 
 MIN_COUNT = 2
@@ -77,8 +81,9 @@ class _Tokens:
         return every, target, n.astype(np.uint32)
 
 
-def score(documents: DataFrame, target: str, text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
-    """The input's rows and columns with n_tokens, target_loss, background_loss and score. target: a boolean column."""
+def score(documents: DataFrame, target: str, text: str = "text", min_count: int = MIN_COUNT, without_own: bool = False) -> DataFrame:
+    """The input's rows and columns with n_tokens, target_loss, background_loss and score. target: a boolean column.
+    without_own: whether a document's own counts are left out of the models that score it."""
     added = ("n_tokens", "target_loss", "background_loss", "score")
     documents = documents.drop(*set(added) - {target, text})
     at = (documents.columns.index(text), documents.columns.index(target))
@@ -129,31 +134,43 @@ def score(documents: DataFrame, target: str, text: str = "text", min_count: int
                 x = _Tokens(packed.as_py(), *at)
                 told = sorted(told.as_py() or [], key=lambda y: y["bucket"])
                 answer = {c: np.concatenate([_expand(y[c], np.uint32) for y in told] or [np.zeros(0, np.uint32)]).astype(np.float64) for c in "tn"}
-                yield x.table.to_batches()[0].from_arrays([*x.table.to_batches()[0].columns, *_losses(x, answer, totals, min_count)], names=schema.names)
+                yield x.table.to_batches()[0].from_arrays([*x.table.to_batches()[0].columns, *_losses(x, answer, totals, min_count, without_own)], names=schema.names)
 
-    out = packs.join(answers, "shard", "left").select("batch", "answers").mapInArrow(losses, schema)
-    drop(said)
-    return out
+    return packs.join(answers, "shard", "left").select("batch", "answers").mapInArrow(losses, schema)
 
 
 _TOTALS = ("target_words", "words", "target_known", "known", "vocabulary")
 
 
-def _losses(x: _Tokens, answer: dict[str, np.ndarray], totals: list[int], min_count: int) -> list[pa.Array]:
+def _within(index: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each token's index occurs in its own document."""
+    key = doc * (int(index.max(initial=0)) + 1) + index
+    _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[place]
+
+
+def _losses(x: _Tokens, answer: dict[str, np.ndarray], totals: list[int], min_count: int, without_own: bool) -> list[pa.Array]:
     every = np.unique(np.concatenate((x.word, x.pair[~x.starts])))
     word, pair = np.searchsorted(every, x.word), np.minimum(np.searchsorted(every, x.pair), max(0, len(every) - 1))
     in_vocabulary = answer["n"][word] >= min_count
     after_known = np.zeros(len(word), bool)
     after_known[1:] = in_vocabulary[:-1]
     after_known &= in_vocabulary & ~x.starts
+    n = np.diff(x.first)
+    doc = np.repeat(np.arange(len(n)), n)
+    own_word, own_pair, own_unknown, own_size = (np.zeros(len(word), np.int64) for _ in range(4))
+    if without_own:
+        own_word, own_pair[~x.starts] = _within(word, doc), _within(pair[~x.starts], doc[~x.starts])
+        own_unknown, own_size = np.bincount(doc[~in_vocabulary], minlength=len(n))[doc], n[doc]
     sums = []
     for c, words_, known in (("t", totals[0], totals[2]), ("n", totals[1], totals[3])):
-        one = np.where(in_vocabulary, answer[c][word], float(words_ - known))
-        p = (one + DELTA) / (words_ + DELTA * (totals[4] + 1))
+        held = x.target if c == "t" else np.ones(len(word), bool)  # tokens of documents that the model holds
+        seen = answer[c][word] - own_word * held
+        one = np.where(in_vocabulary, seen, float(words_ - known) - own_unknown * held)
+        p = (one + DELTA) / (words_ - own_size * held + DELTA * (totals[4] + 1))
         before = np.zeros(len(word))
-        before[1:] = answer[c][word[:-1]]
-        p = np.where(after_known, (answer[c][pair] + MU * p) / (before + MU), p)
+        before[1:] = seen[:-1]
+        p = np.where(after_known, (answer[c][pair] - own_pair * held + MU * p) / (before + MU), p)
         sums.append(np.diff(np.concatenate(([0.0], np.cumsum(-np.log(p))))[x.first]))
-    n = np.diff(x.first)
     target, background = (np.divide(s, n, out=np.zeros(len(n)), where=n > 0) for s in sums)
     return [pa.array(n.astype(np.int64)), *(pa.array(v, mask=n == 0) for v in (target, background, target - background))]

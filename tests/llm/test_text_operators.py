@@ -315,6 +315,32 @@ def test_null_and_repeated_ids(spark):
     assert out == [(-1, -1, False), (1, 1, True), (1, 1, True), (2, 2, True)]
 
 
+def test_crossentropy_without_own(docs, empty):
+    """Each document against models that are counted anew over all others."""
+    import math
+
+    marked = docs.withColumn("target", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 == 1))
+    out = {r["doc_id"]: r for r in crossentropy.score(marked, "target", without_own=True).collect()}
+    toks = {i: WORD.findall(lower(t or "")) for i, t in pairs(docs)}
+    n = Counter(x for w in toks.values() for x in w)
+    vocabulary = {x for x in n if n[x] >= 2}
+    for i, w in toks.items():
+        if not w:
+            assert out[i]["score"] is None and out[i]["n_tokens"] == 0
+            continue
+        for column, held in (("target_loss", lambda j: j % 3 == 1), ("background_loss", lambda j: True)):
+            others = [v for j, v in toks.items() if j != i and held(j)]
+            uni, bi = Counter(x for v in others for x in v), Counter(g for v in others for g in zip(v, v[1:], strict=False))
+            size, unknown, loss = sum(uni.values()), sum(c for x, c in uni.items() if x not in vocabulary), 0.0
+            for j, x in enumerate(w):
+                p = ((uni[x] if x in vocabulary else unknown) + crossentropy.DELTA) / (size + crossentropy.DELTA * (len(vocabulary) + 1))
+                if j and x in vocabulary and w[j - 1] in vocabulary:
+                    p = (bi[w[j - 1], x] + crossentropy.MU * p) / (uni[w[j - 1]] + crossentropy.MU)
+                loss -= math.log(p) / len(w)
+            assert out[i][column] == pytest.approx(loss, abs=1e-9)
+    assert crossentropy.score(empty.withColumn("target", F.lit(True)), "target", without_own=True).count() == 0
+
+
 def thue_morse(n):
     """A word and its complement, which every polynomial hash modulo 2^64 confuses from some length on."""
     word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
