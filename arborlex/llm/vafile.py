@@ -16,7 +16,8 @@ Vectors that are null, hold null or non-finite components, or have another lengt
 do rows without id. Candidates with the query's own id are left out; repeated candidate rows count each, repeated
 query ids once, by their least valid vector. Equal scores go to the smaller id. Fewer than k candidates give fewer
 rows. Of rows with equal vectors, the 2k of smallest ids (k at most of one id) stay in a block: no other can be
-among anyone's k best, so a vector that a third of all rows share costs a block 2k rows. Integers beyond 2^61 count as
+among anyone's k best, so a vector that a third of all rows share costs a block 2k rows. Queries all stay, whatever
+vectors they share. Integers beyond 2^61 count as
 2^61, and scores beyond the long range as its ends.
 """
 
@@ -113,8 +114,9 @@ def scores(values: np.ndarray, queries: np.ndarray) -> np.ndarray:
 _PACK = "dim int, block long, ids binary, codes binary, low binary, step binary, values binary"
 
 
-def pack(vectors: DataFrame, id_col: str, vector: str, scale: int, rows: int, k: int) -> DataFrame:
-    """Blocks of integer vectors of one length, in the order of the input's partitions: ids, approximation, values."""
+def pack(vectors: DataFrame, id_col: str, vector: str, scale: int, rows: int, k: int | None) -> DataFrame:
+    """Blocks of integer vectors of one length, in the order of the input's partitions: ids, approximation, values.
+    k: leaves out candidates that cannot be among anyone's k best; None keeps every row, as queries need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -124,8 +126,9 @@ def pack(vectors: DataFrame, id_col: str, vector: str, scale: int, rows: int, k:
         def out(dim: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             nonlocal block
             block += 1
-            stays = leading(ids, x, k)
-            ids, x = ids[stays], x[stays]
+            if k is not None:
+                stays = leading(ids, x, k)
+                ids, x = ids[stays], x[stays]
             cells = Approximation.of(x)
             parts = [pa.array([v.tobytes()], pa.binary()) for v in (ids, cells.code, cells.low, cells.step, x)]
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), *parts], names=["dim", "block", "ids", "codes", "low", "step", "values"])
@@ -218,7 +221,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     once = queries.where(finite).groupBy(id_col).agg(F.min(vector).alias(vector))
     # pairs of blocks meet by number: query blocks are numbered per length, candidate blocks spread over salts
     number = F.row_number().over(Window.partitionBy("dim").orderBy("block")) - 1
-    asked = pack(once, id_col, vector, scale, QUERIES, k).select("dim", "block", F.col("ids").alias("query_ids"), F.col("values").alias("queries"))
+    asked = pack(once, id_col, vector, scale, QUERIES, None).select("dim", "block", F.col("ids").alias("query_ids"), F.col("values").alias("queries"))
     asked = materialise(asked).withColumn("no", number).drop("block")
     counts = asked.groupBy("dim").agg(F.count("*").alias("asked"))
     salts = max(1, cells.count() // 4)

@@ -63,6 +63,19 @@ def test_vafile_hot_and_huge(spark):
     assert out[8000] == [(8001, 0)]
 
 
+def test_vafile_queries_share_a_vector(spark):
+    """Hundreds of queries with one vector, more than a block keeps of candidates: each gets its k best."""
+    rows = [(i, [0.5, 0.25]) for i in range(3000)] + [(9000, [0.5, 0.5]), (9001, [-0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2, "vec_id")
+    out = {}
+    for r in vafile.top_k(df, df.where("vec_id % 10 = 0"), 3).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hot, best = 512 * 512 + 256 * 256, 512 * 512 + 256 * 512
+    want = {q: [(1, 9000, best), *((n, i, hot) for n, i in zip((2, 3), [i for i in (0, 1, 2) if i != q], strict=False))] for q in range(0, 3000, 10)}
+    want[9000] = [(n, i, best) for n, i in ((1, 0), (2, 1), (3, 2))]
+    assert out == want
+
+
 def conversations(spark, marked=0.5):
     rng, rows = random.Random(7), []
     for c in range(120):
