@@ -82,6 +82,14 @@ def drop(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Between stages: lets every executor collect its garbage, so that the heap which the stages before filled goes back
+    to the system. Python workers live beside that heap and share its limit. A task for each core, so that none is left
+    out while nothing else runs; where the JVM takes no such calls, nothing happens."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 #: What a worker process keeps between tasks, by operator, and how to forget it.
 CACHES: dict[str, Callable[[], None]] = {}
 _held: set[str] = set()

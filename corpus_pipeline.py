@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame; all but the
 last return the columns of documents. Stages are written as Parquet in the shared folder and read again. A stage sets
 how many rows go to a Python worker together, for itself and what runs after it in the session; memory follows that number.
+It begins by having the executors give back the heap that the stage before filled, which would else add up with its own.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlex.llm import bpe, minhash, mixing, queries, repeats, toxicity
-from arborlex.llm.core import BATCH_ROWS, drop, materialise, read_table
+from arborlex.llm.core import BATCH_ROWS, drop, materialise, read_table, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is toxic from this score on.
@@ -29,6 +30,7 @@ DOCUMENT_ROWS, SHARD_ROWS = 256, 8
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the model, trained on labels that are not held out, scores TOXIC or more."""
+    release(spark)
     spark.conf.set(BATCH_ROWS, DOCUMENT_ROWS)
     labels = read_table(spark, sf_dir, "labels").where(~queries.held_out()).select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
@@ -37,6 +39,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id in each group; rows without id have no group and stay."""
+    release(spark)
     spark.conf.set(BATCH_ROWS, DOCUMENT_ROWS)
     found = minhash.near_duplicates(docs, WIDTH, PERCENT)
     gone = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
@@ -45,6 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts. Characters of which a cut took a byte go too."""
+    release(spark)
     spark.conf.set(BATCH_ROWS, SHARD_ROWS)
     out = repeats.remove_repeats(docs.select(*COLUMNS), LENGTH, as_text=True)
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
@@ -53,12 +57,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources come near their target words."""
+    release(spark)
     out = mixing.mix(docs.select(*COLUMNS), queries.OP1_WEIGHTS, queries.OP1_SHARE, queries.OP1_COPIES)
     return out.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (packed 32-bit), and digests of the ids and of the text decoded from them."""
+    release(spark)
     spark.conf.set(BATCH_ROWS, DOCUMENT_ROWS)
     out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), Path(queries.RANKS_PATH).read_bytes(), public_tokenizers.PATTERN, keep_text=False)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")

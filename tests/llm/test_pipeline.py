@@ -40,3 +40,14 @@ def test_empty(spark, sf):
     for _, stage in p.STAGES:
         docs = materialise(stage(spark, docs, sf))
     assert docs.count() == 0
+
+
+def test_stages_give_back_heap(spark, sf):
+    """Every stage begins with a full collection in the executors, whose heap would else stay as the stages before left it."""
+    beans = [b for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName()]
+    full = lambda: sum(b.getCollectionCount() for b in beans)
+    docs = read_table(spark, sf, "documents").limit(0)
+    for name, stage in p.STAGES:
+        before = full()
+        docs = stage(spark, docs, sf)
+        assert full() > before, name
