@@ -280,32 +280,32 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     grouped = some.groupBy("h1", "h2").agg(F.min(F.struct("id", "sig")).alias("m"), F.count("*").alias("size"))
     classes = materialise(grouped.select("h1", "h2", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig"), "size"))
     sigs = classes.select("rep", "sig")
-    bands = _bands(classes)
-    counted = materialise(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"))
-    members = materialise(bands.join(counted.select("bucket"), "bucket"))
-    drop(counted)
+    # random order of a round; a bucket's first member is its pivot
+    first = lambda k: F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), F.col("rep").alias("r"), F.col("component").alias("c"))).alias("p")
+    pivot = ("bucket", F.col("p.r").alias("pivot"), F.col("p.c").alias("pc"))
+    bands = _bands(classes).withColumn("component", F.col("rep"))
+    pivots = materialise(bands.groupBy("bucket").agg(F.count("*").alias("size"), first(0)).where("size > 1").select(*pivot))
+    members = members0 = materialise(bands.join(pivots.select("bucket"), "bucket"))
     texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
     texts = materialise(texts.join(members.select("rep").distinct(), "rep", "left_semi"))
-    members0, links, labels = members, None, None
-    members = members.withColumn("component", F.col("rep"))
+    links = None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
-            order = F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), F.col("rep").alias("r"), F.col("component").alias("c"))
-            pivots = materialise(members.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.r").alias("pivot"), F.col("p.c").alias("pc")))
             pairs = members.join(pivots, "bucket").where("component <> pc").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
             found = _confirmed(materialise(_pruned(materialise(pairs), sigs, threshold)), texts, width, percent)
         else:
-            found = _leftover(members, sigs, texts, width, percent)
+            found = _leftover(materialise(members.join(pivots.select("bucket"), "bucket")), sigs, texts, width, percent)
         found = materialise(found)
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
         if k == ROUNDS:
             break
         rest = members.join(pivots, "bucket").where("rep <> pivot").select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        rest = materialise(rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
-        open_ = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        members = materialise(rest.join(materialise(open_), "bucket"))
-        if members.isEmpty():
+        members = materialise(rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
+        # buckets with members of several components stay open; only they have a pivot in the next round
+        spread = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), first(k + 1))
+        pivots = materialise(spread.where("lo <> hi").select(*pivot))
+        if pivots.isEmpty():
             break
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("size > 1 or component is not null")
     by_class = materialise(by_class.select("h1", "h2", F.coalesce("component", "rep").alias("component")))

@@ -172,3 +172,22 @@ def test_components(spark):
     out = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in [*range(61), 200]) and out[101] == 100 and 102 not in out
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """Two written tables for a small graph; a larger one is contracted first, with the same result."""
+    rng, written, write = random.Random(5), [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df: written.append(df) or write(df))
+    edges = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(1001, 1040)] + [(rng.randrange(2000, 2150), rng.randrange(2000, 2150)) for _ in range(90)] + [(7, 7), (1, 0)]
+    edges = [(a, b) for a, b in edges if a != b or a < 2000]
+    want = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in range(len(want)):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["component"] for r in components.connected_components(df).collect()} == want
+    assert len(written) <= 2
+    for few in (20, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        assert {r["node"]: r["component"] for r in components.connected_components(df).collect()} == want
+    assert len(written) > 10
