@@ -37,6 +37,10 @@ BATCH = 20
 MISS = 1e-6
 ROUNDS = 3
 BLOCK = 256
+#: Bytes of text whose shingles a block counts together; blocks of longer texts compare them pair by pair.
+TOGETHER = 1 << 21
+#: Shingles of a block that are counted at once.
+_COLUMNS = 1 << 12
 
 _HASHES = BANDS * ROWS
 _COEFFICIENTS = (mix64(np.arange(1, _HASHES + 1, dtype=U64) * U64(0xA24BAED4963EE407)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -217,6 +221,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _common(texts: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that left texts share with right ones, (left, right), and the set size of each text, 0 with fewer words
+    than a shingle. Shingles are made of the words themselves."""
+    number, first = _word_numbers(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    owner, many = np.repeat(np.arange(len(texts)), np.diff(first)), len(number)
+    at = np.arange(max(0, many - width + 1))
+    at = at[owner[at] == owner[at + width - 1]]
+    code = number[at]
+    for k in range(1, width):
+        code = np.unique(code * many + number[at + k], return_inverse=True)[1]
+    code, own = np.divmod(np.unique(code * len(texts) + owner[at]), len(texts))  # in order of the shingles
+    sizes, shared = np.bincount(own, minlength=len(texts)), np.zeros((len(left), len(right)), np.int64)
+    several = np.bincount(code)[code] > 1
+    code, own = np.unique(code[several], return_inverse=True)[1], own[several]
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, _COLUMNS):
+        a, b = np.searchsorted(code, (lo, lo + _COLUMNS))
+        has = np.zeros((len(texts), _COLUMNS), np.float32)
+        has[own[a:b], code[a:b] - lo] = 1
+        shared += (has[left] @ has[right].T).astype(np.int64)
+    return shared, sizes
+
+
 def _linked(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, texts: list[np.ndarray], width: int, percent: int) -> list[tuple[int, int]]:
     """Confirmed links that join components, between side 0 and side 1, or within side 0 if there is no other."""
     root = {int(c): int(c) for c in comp}
@@ -230,13 +256,19 @@ def _linked(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray
     right = np.flatnonzero(side == 1)
     within, out = not len(right), []
     right = left if within else right
+    counted = len(texts) > 2 and sum(map(len, texts)) <= TOGETHER
+    if counted:
+        shared, sizes = _common(texts, left, right, width)
     for k, i in enumerate(left):
-        js = right[k + 1 :] if within else right
-        js = js[comp[js] != comp[i]]
-        js = js[survives(np.broadcast_to(sig[i], (len(js), _HASHES)), sig[js], percent / 100)]
-        for j in js:
+        at = np.arange(k + 1 if within else 0, len(right))
+        at = at[comp[right[at]] != comp[i]]
+        at = at[survives(np.broadcast_to(sig[i], (len(at), _HASHES)), sig[right[at]], percent / 100)]
+        if counted and sizes[i]:
+            n = shared[k, at]
+            at = at[100 * n >= percent * (sizes[i] + sizes[right[at]] - n)]
+        for j in right[at]:
             a, b = find(int(comp[i])), find(int(comp[j]))
-            if a != b and alike(texts[i], texts[j], width, percent):
+            if a != b and (counted and sizes[i] or alike(texts[i], texts[j], width, percent)):
                 root[max(a, b)] = min(a, b)
                 out.append((int(rep[i]), int(rep[j])))
     return out

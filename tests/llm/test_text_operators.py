@@ -309,6 +309,41 @@ def test_near_duplicates_without_pivots(spark, monkeypatch):
     assert got == components(list(enumerate(texts)), 3, 85)
 
 
+def test_blocks_count_shingles_together(monkeypatch):
+    """A block compares no pair of texts by itself, and links the same components as pair by pair."""
+    rng, texts = random.Random(8), ["", "w", "w x", "W  x", "w x y", "w x y w x y"]
+    base = [f"w{rng.randrange(40)}" for _ in range(60)]
+    for _ in range(60):
+        x = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            x[rng.randrange(len(x))] = f"é{rng.randrange(9)}"
+        texts.append(" ".join(x))
+    one = [np.frombuffer(x.encode(), np.uint8) for x in texts]
+    n, sig = len(texts), np.zeros((len(texts), minhash.BANDS * minhash.ROWS), np.uint32)
+    alike = minhash.alike
+
+    def joined(links, side):
+        own = list(range(n))
+        for a, b in links:
+            assert alike(one[a], one[b], 3, 85) and (side[a] < side[b] or not side.any())
+            own = [own[a] if x == own[b] else x for x in own]
+        return sorted(min(j for j in range(n) if own[j] == own[i]) for i in range(n))
+
+    for side in (np.zeros(n, np.int64), np.arange(n) % 2):
+        want = [(a, b) for a in range(n) for b in range(n) if (side[a] < side[b] or not side.any() and a < b) and alike(one[a], one[b], 3, 85)]
+        assert 40 < len(want) < n * n // 4
+        asked = []
+        monkeypatch.setattr(minhash, "alike", lambda x, y, *a: asked.append(min(len(bytes(t).split()) for t in (x, y))) or alike(x, y, *a))  # noqa: B023
+        for columns in (7, 1 << 12):
+            monkeypatch.setattr(minhash, "_COLUMNS", columns)
+            got = minhash._linked(np.arange(n), np.arange(n), side, sig, one, 3, 85)
+            assert joined(got, side) == joined(want, side)
+        assert all(k < 3 for k in asked)  # only texts without a whole shingle
+        monkeypatch.setattr(minhash, "TOGETHER", 0)
+        assert joined(minhash._linked(np.arange(n), np.arange(n), side, sig, one, 3, 85), side) == joined(want, side)
+        monkeypatch.setattr(minhash, "TOGETHER", 1 << 21)
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "q")], "doc_id long, text string")
     out = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in minhash.near_duplicates(df, 3, 85).collect())
