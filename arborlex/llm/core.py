@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel looks at together.
 SLICE_BYTES = 1 << 19
@@ -82,6 +83,26 @@ def drop(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Bits of a filter over keys, for each key and at most; Spark's bitmaps have 32,768 each.
+_FILTER_BITS, _MOST_BITS, _BITMAP_BITS = 16, 1 << 25, 1 << 15
+
+
+def filtered(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be among keys (one column, written): all that are, and few others. Bits at the hashes of the
+    keys, 4 MB at most, go to every task, so that a join on the key which follows moves few rows that it then drops."""
+    bits = _BITMAP_BITS
+    while bits < min(_MOST_BITS, _FILTER_BITS * keys.count()):
+        bits *= 2
+    names = [f"_{c}_{uuid.uuid4().hex}" for c in ("map", "bits")]
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    at, bit = F.floor(place(key) / _BITMAP_BITS), F.pmod(place(key), F.lit(_BITMAP_BITS))
+    own = place(keys.columns[0])
+    maps = keys.where(F.col(keys.columns[0]).isNotNull()).groupBy(F.floor(own / _BITMAP_BITS).alias(names[0])).agg(F.bitmap_construct_agg(F.pmod(own, F.lit(_BITMAP_BITS))).alias(names[1]))
+    byte = F.conv(F.hex(F.substring(F.col(names[1]), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+    return rows.where(F.col(key).isNotNull()).join(F.broadcast(maps), at == F.col(names[0])).where(hit).select(*rows.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Between stages: lets every executor collect its garbage, so that the heap which the stages before filled goes back
     to the system. Python workers live beside that heap and share its limit. A task for each core, so that none is left

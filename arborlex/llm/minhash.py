@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .core import LOWER, U64, column_bytes, drop, materialise, mix64, slices, tidy, words
+from .core import LOWER, U64, column_bytes, drop, filtered, materialise, mix64, slices, tidy, words
 
 BANDS, ROWS = 24, 5
 BATCH = 20
@@ -306,42 +306,51 @@ def _leftover(members: DataFrame, sigs: DataFrame, texts: DataFrame, width: int,
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable) and kept (it is that id)."""
     threshold = percent / 100
+    held: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        held.append(materialise(df))
+        return held[-1]
+
     rows = materialise(_digest(documents, id_col, text, width))
     some = rows.where("n > 0 and id is not null")
     # one class may hold a third of all rows: its minimum is combined before the shuffle
     grouped = some.groupBy("h1", "h2").agg(F.min(F.struct("id", "sig")).alias("m"), F.count("*").alias("size"))
-    classes = materialise(grouped.select("h1", "h2", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig"), "size"))
-    sigs = classes.select("rep", "sig")
+    classes = kept(grouped.select("h1", "h2", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig"), "size"))
     # random order of a round; a bucket's first member is its pivot
     first = lambda k: F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), F.col("rep").alias("r"), F.col("component").alias("c"))).alias("p")
     pivot = ("bucket", F.col("p.r").alias("pivot"), F.col("p.c").alias("pc"))
     bands = _bands(classes).withColumn("component", F.col("rep"))
-    pivots = materialise(bands.groupBy("bucket").agg(F.count("*").alias("size"), first(0)).where("size > 1").select(*pivot))
-    members = members0 = materialise(bands.join(pivots.select("bucket"), "bucket"))
+    pivots = kept(bands.groupBy("bucket").agg(F.count("*").alias("size"), first(0)).where("size > 1").select(*pivot))
+    members = kept(bands.join(pivots.select("bucket"), "bucket"))
+    # few rows are members: the others' texts and signatures are not moved
+    reps = kept(members.select("rep").distinct())
     texts = documents.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = materialise(texts.join(members.select("rep").distinct(), "rep", "left_semi"))
+    texts, sigs = (kept(filtered(x, "rep", reps).join(reps, "rep", "left_semi")) for x in (texts, classes.select("rep", "sig")))
     links = None
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
             pairs = members.join(pivots, "bucket").where("component <> pc").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-            found = _confirmed(materialise(_pruned(materialise(pairs), sigs, threshold)), texts, width, percent)
+            found = _confirmed(kept(_pruned(kept(pairs), sigs, threshold)), texts, width, percent)
         else:
-            found = _leftover(materialise(members.join(pivots.select("bucket"), "bucket")), sigs, texts, width, percent)
-        found = materialise(found)
+            found = _leftover(kept(members.join(pivots.select("bucket"), "bucket")), sigs, texts, width, percent)
+        found = kept(found)
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links)
+        held.append(labels)
         if k == ROUNDS:
             break
         rest = members.join(pivots, "bucket").where("rep <> pivot").select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        members = materialise(rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
+        members = kept(rest.select("bucket", "rep", F.coalesce("component", "rep").alias("component")))
         # buckets with members of several components stay open; only they have a pivot in the next round
         spread = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), first(k + 1))
-        pivots = materialise(spread.where("lo <> hi").select(*pivot))
+        pivots = kept(spread.where("lo <> hi").select(*pivot))
         if pivots.isEmpty():
             break
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("size > 1 or component is not null")
     by_class = materialise(by_class.select("h1", "h2", F.coalesce("component", "rep").alias("component")))
-    drop(members0)
+    for old in held:  # the result reads rows and by_class only
+        drop(old)
     out = rows.select("id", "n", "h1", "h2").join(by_class, ["h1", "h2"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -21,6 +21,9 @@ Other columns pass through, but for those named like a new column (or _id, _tie,
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,31 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return rows.withColumn("target", F.least("cap", F.coalesce(level.getField("level") * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
 
 
+def key_of(source: str) -> Column:
+    """A key of a source that joins a null with a null."""
+    return F.struct(F.col(source).isNull().alias("x"), F.coalesce(source, F.lit("")).alias("y"))
+
+
+def _ranked(own: str, max_copies: int) -> dict[str, Column]:
+    """By name, one after the other: certain copies (fixed), place in the ranking of the source (rank, null if that is all)
+    and its range (cell), from the columns of a document and its source, whose names begin with own."""
+    col = lambda c: F.col(own + c)
+    ratio = F.when(col("source_size") > 0, col("target") / col("source_size")).otherwise(F.lit(0.0))
+    whole = F.least(F.floor(ratio + 1e-12), F.lit(max_copies))
+    p = (ratio - whole) * F.when(col("gained") > 0, col("gain") * col("source_size") / col("gained")).otherwise(F.lit(1.0))
+    # rank / (mean odds + rank) is near uniform, so that the ranges are near equal; rows without a rank are spread
+    mean = F.greatest(F.least(ratio - F.floor(ratio), F.lit(1 - 1e-9)), F.lit(1e-9))
+    spread = col("rank") * mean / (1 - mean)
+    return {
+        "whole": whole.cast("int"),
+        "p": p,
+        "sure": (col("p") >= 1) & (col("whole") < max_copies),
+        "rank": F.when((col("p") > 0) & ~col("sure") & (col("whole") < max_copies), col("u") / (1 - col("u")) / (col("p") / (1 - col("p")))),
+        "cell": F.when(col("rank").isNull(), F.pmod(col("tie"), F.lit(LEVELS))).otherwise(F.least(F.floor(spread / (1 + spread) * LEVELS), F.lit(LEVELS - 1))).cast("int"),
+        "fixed": (col("whole") + col("sure").cast("int")).cast("int"),
+    }
+
+
 def mix(
     documents: DataFrame,
     weights: tuple[float, ...],
@@ -69,9 +97,10 @@ def mix(
     tie = F.xxhash64(*(F.col(c) for c, t in documents.dtypes if not t.startswith(("map", "variant"))))
     # rows without id are told apart by their other columns; a hash passes over nulls
     u = (F.pmod(F.xxhash64(F.when(F.col(id_col).isNull(), tie), F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("one"), gain.alias("gain"), u.alias("u"), tie.alias("tie"))
+    unit = {"_id": F.col(id_col), "source": F.col(source).cast("string"), "one": word_count(text), "gain": gain, "u": u, "tie": tie}
+    rows = documents.select(*(made.alias(name) for name, made in unit.items()))
     # equal rows are one unit: all of them are taken as often
-    rows = rows.groupBy("_id", "tie").agg(*(F.first(c).alias(c) for c in ("source", "one", "gain", "u")), (F.first("one") * F.count("*")).alias("size"))
+    rows = rows.groupBy("_id", "tie").agg(*(F.first(c).alias(c) for c in ("source", "one", "gain", "u")), F.count("*").alias("rows"), (F.first("one") * F.count("*")).alias("size"))
     rows = materialise(rows)
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("gain")).alias("gained"))
     named = sums.select("source", "source_size")
@@ -79,30 +108,18 @@ def mix(
     # the sources' table is materialised: a join then may split a source that holds many of the rows
     sources = materialise(sums.join(targets, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "gained"))
 
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.least(F.floor(ratio + 1e-12), F.lit(max_copies))
-    p = (ratio - whole) * F.when(F.col("gained") > 0, F.col("gain") * F.col("source_size") / F.col("gained")).otherwise(F.lit(1.0))
-    key = F.struct(F.col("source").isNull().alias("x"), F.coalesce("source", F.lit("")).alias("y"))
-    ranked = (
-        rows.withColumn("k", key)
-        .join(sources.withColumn("k", F.struct(F.col("s").isNull().alias("x"), F.coalesce("s", F.lit("")).alias("y"))).drop("s"), "k")
-        .withColumn("whole", whole.cast("int"))
-        .withColumn("p", p)
-        .withColumn("sure", (F.col("p") >= 1) & (F.col("whole") < max_copies))
-        .withColumn("rank", F.when((F.col("p") > 0) & ~F.col("sure") & (F.col("whole") < max_copies), F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))))
-    )
-    # rank / (mean odds + rank) is near uniform, so that the ranges are near equal; rows without a rank are spread
-    mean = F.greatest(F.least(ratio - F.floor(ratio), F.lit(1 - 1e-9)), F.lit(1e-9))
-    spread = F.col("rank") * mean / (1 - mean)
-    ranked = ranked.withColumn("cell", F.when(F.col("rank").isNull(), F.pmod(F.col("tie"), F.lit(LEVELS))).otherwise(F.least(F.floor(spread / (1 + spread) * LEVELS), F.lit(LEVELS - 1))).cast("int"))
-    fixed = (F.col("whole") + F.col("sure").cast("int")).cast("int")
-    state = materialise(ranked.select("_id", "tie", "k", "one", "size", "source_size", "target", "rank", "cell", fixed.alias("copies"), F.lit(False).alias("done")))
-    for old in (rows, sources):
-        drop(old)
-    for last in [False] * (PASSES - 1) + [True]:
-        rest = state.groupBy("k").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
-        now = state.join(materialise(rest), "k")
-        fits = F.col("rank").isNotNull() & ~F.col("done") & (F.col("size") <= F.col("rest") * (2 if last else 1))
+    ranked = rows.withColumn("k", key_of("source")).join(sources.withColumn("k", key_of("s")).drop("s"), "k")
+    for name, made in _ranked("", max_copies).items():
+        ranked = ranked.withColumn(name, made)
+    state = materialise(ranked.select("_id", "tie", "k", "one", "size", "rows", "target", "rank", "cell", F.col("fixed").alias("copies"), F.lit(None).cast("int").alias("taken_in")))
+    drop(rows)
+    limits = []
+    for n in range(PASSES):
+        last = n == PASSES - 1
+        rest = materialise(state.groupBy("k").agg((F.first("target") - F.sum((F.col("copies") + F.col("taken_in").isNotNull().cast("int")) * F.col("size"))).alias("rest")))
+        limits.append(rest)
+        now = state.join(rest, "k")
+        fits = F.col("rank").isNotNull() & F.col("taken_in").isNull() & (F.col("size") <= F.col("rest") * (2 if last else 1))
         now = materialise(now.withColumn("free", fits))
         cells = now.where("free").groupBy("k", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
         cells = cells.withColumn("upto", F.sum("words").over(Window.partitionBy("k").orderBy("cell")))
@@ -111,12 +128,38 @@ def mix(
         inside = F.sum(F.when(F.col("free"), F.col("size")).otherwise(0)).over(Window.partitionBy("k", "cell").orderBy("rank", "_id", "tie").rowsBetween(Window.unboundedPreceding, 0))
         room = F.col("cut.missing") + (F.col("size") / 2 if last else F.lit(0.0))
         take = F.col("free") & (F.col("cut").isNull() | (F.col("cell") < F.col("cut.cell")) | ((F.col("cell") == F.col("cut.cell")) & (F.col("inside") <= room)))
-        new = now.withColumn("inside", inside).join(cut, "k", "left").withColumn("take", take)
-        new = materialise(new.select("_id", "tie", "k", "one", "size", "source_size", "target", "rank", "cell", (F.col("copies") + F.col("take").cast("int")).alias("copies"), (F.col("done") | F.col("take")).alias("done")))
-        drop(state)
-        drop(now)
+        new = now.withColumn("inside", inside).join(cut, "k", "left").withColumn("taken_in", F.when(take, F.lit(n)).otherwise(F.col("taken_in")))
+        new = materialise(new.select(*state.columns))
+        for old in (state, now, cut):
+            drop(old)
         state = new
-    plan = state.select(F.col("_id").alias("_i"), F.col("tie").alias("_t"), F.col("one").alias("size"), "source_size", "target", "copies")
-    out = documents.withColumn("_id", F.col(id_col)).withColumn("_tie", tie)
-    out = out.join(plan, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")
-    return out.select(*documents.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    # In each pass, those taken are the first in rank of those that fit: a row knows from its source's limits and the last
+    # one taken whether it is, so that no text is moved to a plan. Equal rows, which fit together or not, are looked up.
+    place = F.struct("cell", "rank", "_id", "tie")
+    ends = materialise(state.groupBy("k").agg(*(F.max(F.when(F.col("taken_in") == n, place)).alias(f"end{n}") for n in range(PASSES))))
+    choice = sources.withColumn("k", key_of("s")).join(ends, "k")
+    for n, rest in enumerate(limits):
+        choice = choice.join(rest.select("k", (F.col("rest") * (2 if n == PASSES - 1 else 1)).alias(f"most{n}")), "k")
+    choice = materialise(choice.drop("s"))
+    equal = materialise(state.where("rows > 1").select("_id", "tie", (F.col("copies") + F.col("taken_in").isNotNull().cast("int")).alias("copies")))
+    for old in (state, sources, ends, *limits):
+        drop(old)
+
+    # names of its own, which no column of the input has
+    own = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in documents.columns), default=0))
+    as_own = lambda df: df.select(*(F.col(c).alias(own + c) for c in df.columns))
+    out = documents
+    for name, made in unit.items():
+        out = out.withColumn(own + name, made)
+    out = out.withColumn(own + "key", key_of(own + "source")).join(as_own(choice), F.col(own + "key") == F.col(own + "k"))
+    for name, made in _ranked(own, max_copies).items():
+        out = out.withColumn(own + name, made)
+    place = F.struct(*(F.col(own + c).alias(c) for c in ("cell", "rank", "_id", "tie")))
+    taken = [F.col(own + "rank").isNotNull() & (F.col(own + "one") <= F.col(f"{own}most{n}")) & (place <= F.col(f"{own}end{n}")) for n in range(PASSES)]
+    taken = F.coalesce(reduce(or_, (F.coalesce(x, F.lit(False)) for x in taken)), F.lit(False)).cast("int")
+    out = out.withColumn(own + "copies", F.col(own + "fixed") + taken)
+    same = as_own(equal.select(F.col("_id").alias("i"), F.col("tie").alias("t"), F.col("copies").alias("n")))
+    out = out.join(same, F.col(own + "_id").eqNullSafe(F.col(own + "i")) & (F.col(own + "tie") == F.col(own + "t")), "left")
+    out = out.withColumn(own + "n", F.coalesce(own + "n", own + "copies"))
+    made = {"size": "one", "source_size": "source_size", "target": "target", "copies": "n"}
+    return out.select(*documents.columns, *(F.col(own + c).alias(name) for name, c in made.items()), (F.col(own + "n") * F.col(own + "one")).alias("taken"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from arborlex.llm import bpe, bwt, crossentropy, licences, minhash, mixing, quality, queries, repeats, toxicity
+from arborlex.llm import bpe, bwt, core, crossentropy, licences, minhash, mixing, quality, queries, repeats, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -470,3 +471,68 @@ def test_digests(spark, sf):
     r = queries.op6_repeats(spark, sf).orderBy("doc_id").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id") == r["doc_id"]).first()["text"]
     assert r["n_bytes"] == len(text.encode()) and (r["n_removed"] or r["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest())
+
+
+def moved(spark, run):
+    """Bytes that run's shuffles wrote."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    run()
+    time.sleep(1)  # the store hears of the last tasks a little later
+    return written() - before
+
+
+@pytest.fixture
+def texts_unlike(spark, tmp_path):
+    """3,000 texts of 5 KB each, hardly compressible; the last 20 are near copies of others."""
+    rng = random.Random(3)
+    texts = [" ".join("%x" % rng.getrandbits(60) for _ in range(320)) for _ in range(2980)]
+    texts += [x + " end" for x in texts[:20]]
+    spark.createDataFrame([(i, x, "ab"[i % 2]) for i, x in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/texts")
+    return spark.read.parquet(f"{tmp_path}/texts"), sum(map(len, texts))
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "24k")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_near_duplicates_move_few_texts(spark, texts_unlike, small_broadcasts):
+    """Only texts that share a band with another, and their signatures, are dealt out."""
+    df, size = texts_unlike
+    out = []
+    assert moved(spark, lambda: out.extend(minhash.near_duplicates(df, 3, 85).collect())) < size / 2
+    assert sorted(r["doc_id"] for r in out if not r["kept"]) == list(range(2980, 3000))
+
+
+def test_mixing_moves_no_text(spark, texts_unlike, small_broadcasts, tmp_path):
+    """A text's copies follow from its source's limits; it is not dealt out to meet a plan with a row per text."""
+    df, size = texts_unlike
+    assert moved(spark, lambda: mixing.mix(df, (3.0, 1.0), 0.7).write.parquet(f"{tmp_path}/out")) < size / 4
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    for s in "ab":
+        own = [r for r in out if r["source"] == s]
+        assert len(own) == 1500 and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 161
+
+
+def test_mixing_takes_equal_rows_together(spark):
+    rows = [(i % 150, "w " * (i % 150 % 7), "s") for i in range(450)] + [(i, "w w w", "s") for i in range(150, 300)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), (1.0,), 0.4).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["doc_id"]].append(r["copies"])
+    assert all(len(v) == (3 if i < 150 else 1) and len(set(v)) == 1 for i, v in by.items())
+    assert abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 9
+
+
+def test_filter_keeps_all_keys(spark):
+    rows = spark.range(-20000, 20000).withColumn("x", F.lit("y")).unionByName(spark.createDataFrame([(None, "z")], "id long, x string"))
+    for keys in (spark.range(0, 1000).withColumnRenamed("id", "k"), spark.range(0).withColumnRenamed("id", "k")):
+        n = keys.count()
+        out = core.filtered(rows, "id", keys)
+        assert out.columns == rows.columns
+        assert out.join(keys, out["id"] == keys["k"], "left_semi").count() == n and out.count() <= n + 0.1 * 40000 * (n > 0)
