@@ -8,6 +8,10 @@ its last emitted token, the bytes not yet emitted and the paths. It is built whe
 and all are forgotten together when there are too many, so memory stays bounded on any input, and what occurs once
 (most long pre-tokens) takes none of it.
 
+Most pre-tokens that are not remembered are short and occur once: building states for them costs more than it saves.
+Those of a batch run through the same transducer side by side (Lockstep). Instead of a state, each keeps the last token
+of its path at every position, in arrays; joins are judged by undoing merges, and remembered.
+
 Decoding. Token bytes run through an incremental UTF-8 automaton whose state is the open sequence; a malformed
 or cut sequence becomes U+FFFD, as bytes.decode(errors="replace") would give.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,14 @@ from .core import CACHES, tidy
 
 #: States and remembered pre-tokens that one worker keeps (about 0.5 and 0.25 kB each), and joins that it has judged.
 MAX_STATES = 120_000
-MAX_PIECES = 100_000
+MAX_PIECES = 300_000
 MAX_JOINS = 250_000
-#: Longer pre-tokens are not remembered.
+#: Longer pre-tokens are not remembered and run one by one.
 MAX_PIECE_CHARS = 48
-#: Documents that are turned into Python strings together.
-BATCH_ROWS = 64
+#: Pre-tokens that run side by side, at least (fewer run one by one) and at most.
+SIDE_LEAST, SIDE_MOST = 64, 1 << 12
+#: Documents that are turned into Python strings together, and characters that are split together; a longer text stands alone.
+BATCH_ROWS, BATCH_CHARS = 64, 1 << 20
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -92,10 +99,10 @@ class Transducer:
         self.ids: dict[tuple, int] = {_START: 0}
         self.moves: dict[int, int | tuple[int, tuple]] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The tokens of a short string by repeated merging: lowest rank first, leftmost of equals."""
+    def merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The tokens of a short string by repeated merging: lowest rank first, leftmost of equals. least: parts to leave."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
             if best == 1 << 60:
                 break
@@ -173,35 +180,222 @@ class Transducer:
         return out
 
 
+class _Table:
+    """Values from 0 by distinct keys from 0 to below 2^62, looked up for whole arrays; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (8 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot = _slots(keys, self.bits)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            placed = self.keys[slot] == keys
+            self.values[slot[placed]] = values[placed]
+            keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = _slots(keys, self.bits)
+        there = self.keys[slot]
+        same = there == keys
+        out = np.where(same, self.values[slot], np.int32(-1))
+        left = np.flatnonzero(~same & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[left]]
+            same = there == keys[left]
+            out[left[same]] = self.values[slot[left[same]]]
+            left = left[~same & (there >= 0)]
+        return out
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Lockstep:
+    """The transducer on many short pre-tokens at once, position by position, without building states.
+
+    Of the tokens that end at a position, exactly one may stand behind the last token of the path that leads to its start.
+    Two tokens may stand side by side if, while their merges at the border are undone from the last one on, no merge across
+    the border would have come before the one undone; of equal ranks the left one comes first. usable tells whether merges
+    make every token of two of lower rank, without which this does not hold. Tokens are numbered in the order of their ranks.
+    """
+
+    JOIN_BITS = 20
+
+    def __init__(self, transducer: Transducer):
+        ranks = transducer.ranks
+        tokens = sorted(ranks, key=ranks.__getitem__)
+        number = {b: k for k, b in enumerate(tokens)}
+        left, right = (np.arange(len(tokens), dtype=np.int64) for _ in range(2))
+        self.usable = all(b in number for b in _BYTE) and max(ranks.values()) < 1 << 32
+        for b, k in number.items():
+            if len(b) > 1 and self.usable:
+                parts = transducer.merged(b, 2)
+                left[k], right[k] = (number[x] for x in parts) if len(parts) == 2 else (k, k)
+                self.usable = max(left[k], right[k]) < k
+        if not self.usable:
+            return
+        made = np.flatnonzero(left != np.arange(len(tokens)))
+        self.left, self.right = left, right
+        self.merges = _Table(left[made] << 31 | right[made], made)
+        self.ranks = np.array([ranks[b] for b in tokens], "<u4")
+        self.length = np.array([len(b) for b in tokens], np.int32)
+        # nodes: the bytes by value, then the longer prefixes and tokens
+        nodes = {b: k for k, b in enumerate(_BYTE)}
+        for b in sorted((transducer.prefixes | ranks.keys()) - nodes.keys(), key=len):
+            nodes[b] = len(nodes)
+        longer = [b for b in nodes if len(b) > 1]
+        self.edges = _Table(np.array([nodes[b[:-1]] << 8 | b[-1] for b in longer], np.int64), np.array([nodes[b] for b in longer], np.int32))
+        self.token = np.array([number.get(b, -1) for b in nodes], np.int32)
+        self.inner = np.array([b in transducer.prefixes for b in nodes])
+        self.joins = np.full(1 << self.JOIN_BITS, -1, np.int64)
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the merges keep tokens a and b apart where they meet. A join is remembered until another takes its place."""
+        keys = a.astype(np.int64) << 31 | b
+        slot = _slots(keys, self.JOIN_BITS)
+        found = self.joins[slot]
+        out = (found & 1).astype(bool)
+        new = np.flatnonzero(found >> 1 != keys)
+        if len(new):
+            out[new] = self._judge(a[new], b[new])
+            self.joins[slot[new]] = keys[new] << 1 | out[new]
+        return out
+
+    def _judge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        at, a, b = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64)
+        limit = np.full(len(a), len(self.ranks), np.int64)
+        while len(at):
+            across = self.merges.get(a << 31 | b)
+            keep = (across < 0) | (across >= limit)
+            at, a, b = at[keep], a[keep], b[keep]
+            inner_a, inner_b = self.right[a], self.left[b]
+            whole_a, whole_b = inner_a == a, inner_b == b
+            undo_a = ~whole_a & (whole_b | (a > b))
+            limit = np.where(undo_a, a, b + 1)
+            both = whole_a & whole_b
+            out[at[both]] = True
+            a, b = np.where(undo_a, inner_a, a), np.where(undo_a, b, inner_b)
+            at, a, b, limit = at[~both], a[~both], b[~both], limit[~both]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed little-endian 32-bit ids of each; no piece may be empty."""
+        size = np.array([len(x) for x in pieces], np.int64)
+        end = np.cumsum(size)
+        first = end - size
+        data, stop, start = np.frombuffer(b"".join(pieces), np.uint8), np.repeat(end, size), np.repeat(first, size)
+        # all tokens in the pieces: where they start, where the last byte is, which
+        at, node, found, depth = np.arange(len(data)), data.astype(np.int64), [], 0
+        while len(at):
+            token = self.token[node]
+            own = np.flatnonzero(token >= 0)
+            found.append((at[own], at[own] + depth, token[own]))
+            depth += 1
+            more = np.flatnonzero(self.inner[node] & (at + depth < stop[at]))
+            at, node = at[more], self.edges.get(node[more] << 8 | data[at[more] + depth])
+            more = np.flatnonzero(node >= 0)
+            at, node = at[more], node[more].astype(np.int64)
+        at, last, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        # the last token of the path up to each byte
+        path = np.full(len(data), -1, np.int32)
+        whole = at == start[at]
+        path[last[whole]] = token[whole]
+        at, last, token = at[~whole], last[~whole], token[~whole]
+        position = (last - start[last]).astype(np.uint16)
+        order = np.argsort(position, kind="stable")
+        at, last, token = at[order], last[order], token[order]
+        cuts = np.cumsum(np.bincount(position)).tolist()
+        for i, j in zip([0, *cuts], cuts, strict=False):
+            if i < j:
+                before, here, what = path[at[i:j] - 1], last[i:j], token[i:j]
+                good = np.flatnonzero(self.fits(before, what))
+                path[here[good]] = what[good]
+        if len(path) and path.min() < 0:
+            raise ValueError("the ranks do not cover every byte or are no merge order")
+        # back along the paths
+        at, own, taken, count = end - 1, np.arange(len(pieces)), [], np.zeros(len(pieces), np.int64)
+        while len(own):
+            token = path[at]
+            taken.append((own, token))
+            count[own] += 1
+            at = at - self.length[token]
+            more = np.flatnonzero(at >= first[own])
+            at, own = at[more], own[more]
+        to = np.cumsum(count)
+        ids = np.zeros(to[-1] if len(to) else 0, "<u4")
+        for k, (own, token) in enumerate(taken):
+            ids[to[own] - 1 - k] = self.ranks[token]
+        packed, to = ids.tobytes(), (4 * to).tolist()
+        return [packed[i:j] for i, j in zip([0, *to], to, strict=False)]
+
+
 class Encoder:
     """Whole texts in, packed little-endian 32-bit ids out; frequent pre-tokens are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
+        self.lockstep = Lockstep(self.transducer)
         self.split = regex.compile(pattern).findall
         self.known = _Known(self.transducer)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.split(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out, i = [], 0
+        while i < len(texts):
+            j, chars = i + 1, len(texts[i])
+            while j < len(texts) and (chars := chars + len(texts[j])) <= BATCH_CHARS:
+                j += 1
+            split = [self.split(x) for x in texts[i:j]]
+            self._prepare(split)
+            out += [b"".join(map(self.known.__getitem__, x)) for x in split]
+            i = j
+        self.known.fresh = {}
+        return out
+
+    def _prepare(self, split: list[list[str]]) -> None:
+        """Encodes side by side what is short and not remembered."""
+        known = self.known
+        known.turn()
+        if not self.lockstep.usable:
+            return
+        new = [x for x in filterfalse(known.old.__contains__, filterfalse(known.__contains__, set(chain.from_iterable(split)))) if 0 < len(x) <= MAX_PIECE_CHARS]
+        if len(new) >= SIDE_LEAST:
+            for i in range(0, len(new), SIDE_MOST):
+                part = new[i : i + SIDE_MOST]
+                known.fresh.update(zip(part, self.lockstep.encode([x.encode() for x in part]), strict=True))
 
 
 class _Known(dict):
-    """Ids of the pre-tokens that were met before: the later half, and in old those that were there when it began."""
+    """Ids of the pre-tokens that were met before: the later half, and in old those that were there when it began.
+    fresh has those that the current texts brought. Nothing is forgotten while these are looked up."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer, self.met, self.old = transducer, _Met(), {}
+        self.transducer, self.met, self.old, self.fresh = transducer, _Met(), {}, {}
+
+    def turn(self) -> None:
+        """Before other texts are looked up."""
+        self.fresh = {}
+        if len(self) >= MAX_PIECES // 2:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+            ids = self.fresh.get(piece)
+            if ids is None:
+                ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
             if len(piece) > MAX_PIECE_CHARS or not self.met.again(piece):
                 return ids
-        if len(self) >= MAX_PIECES // 2:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
+        if len(self) < MAX_PIECES // 2:
+            self[piece] = ids
         return ids
 
 
@@ -312,7 +506,7 @@ def _mapped(df: DataFrame, text: str, ranks: bytes, pattern: str, names: tuple[s
         encoder, decoder = _codec(shared.value, pattern)
         for big in batches:
             for batch in _batches(big):
-                ids = [encoder.encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                ids = encoder.encode_all([x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])
                 made = [pa.array(ids, pa.binary())]
                 if len(names) > 1:
                     made.append(pa.array([decoder.push(np.frombuffer(x, "<u4").tolist()) + decoder.flush() for x in ids], pa.string()))

@@ -69,6 +69,43 @@ def test_bpe_fuzz():
         assert d.push(ids[:3]) + d.push(ids[3:]) + d.flush() == enc.decode(ids)
 
 
+def test_bpe_side_by_side(monkeypatch):
+    """Short pre-tokens that occur once build no states, and their ids are those of the transducer and of tiktoken."""
+    ranks = bpe.parse_ranks(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    e, rng, steps = bpe.Encoder(ranks, public_tokenizers.PATTERN), random.Random(3), []
+    step = bpe.Transducer.step
+    monkeypatch.setattr(bpe.Transducer, "step", lambda *a: steps.append(1) or step(*a))
+    parts = ["th", "er", "ing", "é", "ß", "東", "京", "\U0001f600", "a", "aa", "q", "z", "ción", "7", "--", "'s", " ", "  ", "\n"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)) for _ in range(12)]
+    assert [np.frombuffer(e.encode(x), "<u4").tolist() for x in texts] == [enc.encode_ordinary(x) for x in texts]
+    assert not steps
+    pieces = sorted({p.encode() for x in texts for p in e.split(x)})
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.lockstep.encode(pieces)] == [e.transducer.encode(x) for x in pieces]
+
+
+def test_bpe_joins_and_odd_ranks():
+    """Joins judged by undoing merges are those of merging; ranks with a token that no merge makes run one by one."""
+    ranks = bpe.parse_ranks(RANKS)
+    t, rng = bpe.Transducer(ranks), random.Random(5)
+    side = bpe.Lockstep(t)
+    tokens = sorted(ranks, key=ranks.get)
+    near = [b for b in tokens if len(b) < 5 and set(b) <= set(b"aehinrt ")]
+    a, b = ([rng.choice(near if k % 2 else tokens) for k in range(6000)] for _ in range(2))
+    number = {x: k for k, x in enumerate(tokens)}
+    found = [side.fits(np.array([number[x] for x in a]), np.array([number[x] for x in b])).tolist() for _ in range(2)]
+    want = [t.merged(x + y) == [x, y] for x, y in zip(a, b, strict=True)]
+    assert found == [want, want] and {True, False} == set(want)
+    odd = {bytes((i,)): 2 * i + 1 for i in range(256)} | {b"ab": 1000, b"abab": 2000, b"xyz": 3000}
+    words = ["".join(rng.choice("abxzé") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    for own in (odd, {b: i for b, i in odd.items() if b != b"xyz"}):
+        e = bpe.Encoder(own, r"\S+|\s+")
+        assert e.lockstep.usable == (b"xyz" not in own)
+        want = [i for p in e.split(" ".join(words)) for i in bpe.Transducer(own).encode(p.encode())]
+        assert np.frombuffer(e.encode(" ".join(words)), "<u4").tolist() == want
+    assert bpe.Encoder(ranks, r"\S+|\s+").encode("") == b""
+
+
 def test_mixing(spark, docs, empty):
     clash = docs.withColumn("size", F.lit("x"))
     out = mixing.mix(clash, (3.0, 1.0, 2.0)).collect()
